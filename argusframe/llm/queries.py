@@ -11,6 +11,7 @@ from .packing import pack_documents
 from .quality import quality_scores
 from .sentencepieces import round_trip_digests
 from .simhash import simhash_groups
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .toxicity import toxicity
 
@@ -53,6 +54,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_packing": op8_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
