@@ -35,6 +35,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Remembered(dict):
+    """key -> ``make(key)``, remembered in two generations of at most ``limit`` short keys each.
+
+    ``turn()`` between texts starts a new generation when the young one is full; what is still in use then
+    comes over from the old one, so frequent keys are never made again.
+    """
+
+    LONGEST = 48
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.LONGEST:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 7))")).first()
     return tuple(row)

@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import Remembered, stored
 
-CACHE = 600_000  # words that one Python worker remembers
+CACHE = 600_000  # words that one Python worker remembers, in each of two generations
 
 
 # -- token ids -----------------------------------------------------------------------------------------
 
 
-class WordIds(dict):
+class WordIds(Remembered):
     """Word -> packed ids of a word-level BPE vocabulary, each word encoded once by the library.
 
     The library's normaliser (NFC, white space, lower case) and pre-tokenizer cut a text into words that
@@ -45,6 +45,7 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__(CACHE)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -55,19 +56,15 @@ class WordIds(dict):
         self.plain = re.compile(f"[\t-\r -~\x85\xa0-\u012f\u0131-{chr(self.LAST)}]*").fullmatch
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
-    def __missing__(self, word: str) -> bytes:
-        value = self.whole(word)
-        if len(word) <= 48:
-            self[word] = value
-        return value
+    def make(self, word: str) -> bytes:
+        return self.whole(word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def packed(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if len(self) > CACHE:
-            self.clear()
+        self.turn()
         if not self.plain(text) or any(s in text for s in self.special):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.words(text.lower())))

@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import Remembered
+
 SPACE = "▁"  # fixed: the symbol that stands for a space
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed: piece types of the model file
-CACHE = 300_000  # segments that one Python worker remembers
+CACHE = 500_000  # segments that one Python worker remembers, in each of two generations
 
 
 class CharacterMap:
@@ -63,10 +65,11 @@ class Encoding:
     ends: list[int] = field(default_factory=list)
 
 
-class SpanEncoder(dict):
-    """Encoder and decoder of one model file; as a dict, normalised segment -> (ids, lengths, packed, decoded)."""
+class SpanEncoder(Remembered):
+    """Encoder and decoder of one model file; as a dict, normalised segment -> (packed ids, what they spell)."""
 
     def __init__(self, path: str):
+        super().__init__(CACHE)
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -83,12 +86,17 @@ class SpanEncoder(dict):
         if any(t in (USER_DEFINED, UNUSED) for _, _, t in self.pieces):
             raise ValueError("models with user-defined or unused pieces are not supported")
         self.score = {p: (s, i) for i, (p, s, t) in enumerate(self.pieces) if t == NORMAL}
+        self.id_of = {p: i for p, (_, i) in self.score.items()}
         self.rank = {p: -s for p, (s, _) in self.score.items()}
         self.unk = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
         self.bos, self.eos = model.trainer_spec.bos_id, model.trainer_spec.eos_id
         self.unk_surface = model.trainer_spec.unk_surface.encode()
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.of_byte = {i: bytes([b]) for b, i in self.byte_ids.items()}
+        self.spelt = [
+            self.of_byte[i] if t == BYTE else self.unk_surface if t == UNKNOWN else b"" if t == CONTROL else p.replace(SPACE, " ").encode()
+            for i, (p, _, t) in enumerate(self.pieces)
+        ]
         self.fallback = model.trainer_spec.byte_fallback
         # What no piece holds can't be merged over: a space symbol after another character, if no piece
         # has one inside, and a newline, if none has one at all. Segments between them are independent.
@@ -192,33 +200,48 @@ class SpanEncoder(dict):
                 offer(before[i], i)
         return [p for p in parts if p]
 
-    def __missing__(self, segment: str) -> tuple[tuple[int, ...], tuple[int, ...], bytes, bytes]:
-        ids, lengths = [], []
+    def ids_of(self, segment: str) -> list[int]:
+        """Ids of one normalised segment; a symbol that is no piece falls back to its bytes."""
+        get, out = self.id_of.get, []
         for part in self._merge(segment):
-            data = part.encode()
-            known = self.score.get(part)
-            if known is not None:
-                ids.append(known[1])
-                lengths.append(len(data))
+            i = get(part)
+            if i is not None:
+                out.append(i)
             elif self.fallback:
-                ids += [self.byte_ids[b] for b in data]
-                lengths += [0] * (len(data) - 1) + [len(data)]  # the last of its bytes stands for the character
+                out += [self.byte_ids[b] for b in part.encode()]
             else:
-                ids.append(self.unk)
-                lengths.append(len(data))
-        value = (tuple(ids), tuple(lengths), struct.pack(f"<{len(ids)}I", *ids), self.surface(ids))
-        if len(segment) <= 48:
-            self[segment] = value
-        return value
+                out.append(self.unk)
+        return out
+
+    def make(self, segment: str) -> tuple[bytes, bytes]:
+        ids = self.ids_of(segment)
+        return struct.pack(f"<{len(ids)}I", *ids), self.surface(ids)
 
-    def _trim(self) -> None:
-        if len(self) > CACHE:
-            self.clear()
+    def _lengths(self, segment: str) -> tuple[tuple[int, ...], list[int]]:
+        """Ids of a segment and how many normalised bytes each stands for."""
+        packed = self[segment][0]
+        ids, lengths, data, at = struct.unpack(f"<{len(packed) // 4}I", packed), [], segment.encode(), 0
+        pending = 0  # bytes of a character that are still to come
+        for i in ids:
+            if i in self.of_byte:
+                if not pending:
+                    c = data[at]
+                    width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+                    pending = width
+                pending -= 1
+                lengths.append(0 if pending else width)  # the last byte stands for the character
+            elif i == self.unk:
+                c = data[at]
+                lengths.append(1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
+            else:
+                lengths.append(len(self.pieces[i][0].encode()))
+            at += lengths[-1]
+        return ids, lengths
 
     def encode(self, text: str | None, bos: bool = True, eos: bool = True) -> Encoding:
         """Ids and spans. Begin and end ids stand for no bytes; so do all but the last byte of a character
         that falls back to bytes, and the dummy prefix."""
-        self._trim()
+        self.turn()
         norm, origin = self.normalise(text or "")
         out = Encoding()
         if bos:
@@ -233,8 +256,7 @@ class SpanEncoder(dict):
             origin.append(len(text.encode()))
         at = 0
         for segment in self.segments(norm):
-            ids, lengths, _, _ = self[segment]
-            for i, n in zip(ids, lengths):
+            for i, n in zip(*self._lengths(segment)):
                 out.ids.append(i)
                 out.begins.append(origin[at])
                 out.ends.append(origin[at + n])
@@ -246,25 +268,16 @@ class SpanEncoder(dict):
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the decoded text, from the segments' packed forms."""
-        self._trim()
+        self.turn()
         found = list(map(self.__getitem__, self.segments(self.normalise(text or "")[0])))
-        packed = b"".join([struct.pack("<I", self.bos), *[f[2] for f in found], struct.pack("<I", self.eos)])
-        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(self._finish(b"".join([f[3] for f in found]))).hexdigest()
+        packed = b"".join([struct.pack("<I", self.bos), *[f[0] for f in found], struct.pack("<I", self.eos)])
+        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(self._finish(b"".join([f[1] for f in found]))).hexdigest()
 
     # -- decoding ------------------------------------------------------------------------------------
 
     def surface(self, ids) -> bytes:
         """What ``ids`` spell, before the dummy prefix goes and bytes are checked."""
-        out = []
-        for i in ids:
-            piece, _, kind = self.pieces[i]
-            if kind == BYTE:
-                out.append(self.of_byte[i])
-            elif kind == UNKNOWN:
-                out.append(self.unk_surface)
-            elif kind != CONTROL:
-                out.append(piece.replace(SPACE, " ").encode())
-        return b"".join(out)
+        return b"".join(map(self.spelt.__getitem__, ids))
 
     def _finish(self, spelt: bytes, prefixed: bool = True) -> bytes:
         """``prefixed``: the first piece is none of a single byte, so that a space it starts with was put there."""

@@ -15,11 +15,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import Remembered
+
 # Fixed values of byte-level BPE: the pre-token pattern, and the bytes that stand for themselves.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHE = 400_000  # merged pre-tokens that one Python worker remembers
+CACHE = 600_000  # merged pre-tokens that one Python worker remembers, in each of two generations
 
 
 def byte_letters() -> list[str]:
@@ -103,29 +105,30 @@ class MergeTable:
         return out
 
 
-class Counter(dict):
+class Counter(Remembered):
     """Pre-token -> its number of tokens; what isn't there yet is merged and remembered."""
 
     def __init__(self, table: MergeTable, whole: Iterable[str]):
-        super().__init__(dict.fromkeys(whole, 1))
-        self.table, self.whole = table, len(self)
-        self.proved = dict(self)
+        super().__init__(CACHE)
+        self.table = table
+        self.proved = dict.fromkeys(whole, 1)
+        self.update(self.proved)
         self.pattern = regex.compile(PRETOKEN)
         marks = "|".join(regex.escape(s) for s in sorted(table.special, key=len, reverse=True))
         self.special = regex.compile(marks) if marks else None
         self.marks = table.special
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.table.merge(self.table.spell(piece)))
-        if len(piece) <= 64:
-            self[piece] = n
-        return n
+    def make(self, piece: str) -> int:
+        return len(self.table.merge(self.table.spell(piece)))
+
+    def turn(self) -> None:
+        super().turn()
+        if not self:
+            self.update(self.proved)
 
     def count(self, text: str) -> int:
         """Tokens of ``text``; a special string inside it is one token, as the library has it."""
-        if len(self) > self.whole + CACHE:
-            self.clear()
-            self.update(self.proved)
+        self.turn()
         parts, n = [text], 0
         if self.special and any(m in text for m in self.marks):
             parts = self.special.split(text)
