@@ -90,8 +90,10 @@ def exact_dedup(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with its own columns, one row for each distinct text: the row with the largest id.
 
-    Rows that repeat the winning id all stay.
+    Rows that repeat the winning id and its text all stay. What is dropped, usually the smaller part, is
+    looked up by id and digest.
     """
-    kept = exact_dedup(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
-    return out
+    found = exact_dedup(docs, id_col, text_col, **options)
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    same = docs[id_col].eqNullSafe(gone["__id"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == gone["__sha"])
+    return docs.join(gone, same, "left_anti")

@@ -17,6 +17,7 @@ import re
 import unicodedata
 import zlib
 from dataclasses import dataclass
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Remembered, stored
+from .token_counts import byte_letters
 
 CACHE = 600_000  # words that one Python worker remembers, in each of two generations
 
@@ -47,6 +49,7 @@ class WordIds(Remembered):
 
         super().__init__(CACHE)
         self.library = Tokenizer.from_file(path)
+        self.model, self.letters = self.library.model, byte_letters()
         self.library.no_truncation()
         self.library.no_padding()
         chars = [chr(c) for c in range(0x21, self.LAST + 1)]
@@ -57,7 +60,10 @@ class WordIds(Remembered):
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def make(self, word: str) -> bytes:
-        return self.whole(word)
+        """A word as the pre-tokenizer hands it to the library's model: the letters of its bytes."""
+        spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

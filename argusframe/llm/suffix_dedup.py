@@ -329,3 +329,31 @@ def remove_repeats(
         F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text",
         *[F.col(f"x{i}").alias(c) for i, c in enumerate(extra)],
     )
+
+
+def without_repeats(
+    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **options
+) -> DataFrame:
+    """``docs`` with its own columns and all its rows, each text without the repeated bytes.
+
+    Where a cut falls inside a character, what is left of the character goes too. ``size_col``, if given and
+    there, becomes the new number of characters.
+    """
+    extra = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    out = remove_repeats(docs, length, id_col, text_col, extra=extra, **options)
+
+    def decode(batches):
+        for b in batches:
+            texts = [d.decode("utf-8", "ignore") for d in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[1:]], ["text", *names])
+
+    names = ["id", *[f"x{i}" for i in range(len(extra))]]
+    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *extra)]
+    done = out.select(F.col("kept_text"), F.col(id_col).alias("id"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(extra)]).mapInArrow(
+        decode, "text string, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
+    )
+    source = {id_col: "id", text_col: "text"} | {c: f"x{i}" for i, c in enumerate(extra)}
+    columns = [F.col(source[c]).alias(c) for c in docs.columns]
+    if size_col in docs.columns:
+        columns[docs.columns.index(size_col)] = F.length("text").cast(docs.schema[size_col].dataType).alias(size_col)
+    return done.select(*columns)
