@@ -53,7 +53,13 @@ def usable(vector: F.Column) -> F.Column:
 
 
 def _unit(rows) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
+    """Unit rows, in double, of lists of equal length or of an Arrow column of such."""
+    if isinstance(rows, (pa.Array, pa.ChunkedArray)):
+        n = len(rows)
+        flat = rows.combine_chunks().flatten() if isinstance(rows, pa.ChunkedArray) else rows.flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    else:
+        x = np.array(rows, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -97,7 +103,7 @@ def _links(
         for b in batches:
             if not b.num_rows:
                 continue
-            flags = coder.value.encode(_unit(b.column(1).to_pylist()))
+            flags = coder.value.encode(_unit(b.column(1)))
             value = (flags.astype(np.uint64) << np.arange(flags.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value.view(np.int64))], ["rep", "v", "members", "code"])
 
@@ -114,9 +120,9 @@ def _links(
     earlier = " and ".join(
         f"(t <= {s} or bit_count(shiftrightunsigned(a_code ^ b_code, {s * width}) & {mask}L) > {radius})" for s in range(segments - 1)
     ) or "true"
-    # beyond this many differing bits, a cosine of the threshold is a matter of five standard deviations
+    # of pairs right at the threshold, about one in a thousand differs in more bits than this
     p = float(np.arccos(cosine) / np.pi)
-    most = int(np.ceil(bits * p + 5 * np.sqrt(bits * p * (1 - p))))
+    most = int(np.ceil(bits * p + 3.5 * np.sqrt(bits * p * (1 - p))))
     few = table.where(F.col("size") <= block)
     pairs = (
         few.select("t", F.col("val").alias("own"), F.col("rep").alias("a"), F.col("code").alias("a_code"))
@@ -133,7 +139,7 @@ def _links(
         for b in batches:
             if not b.num_rows:
                 continue
-            close = (_unit(b.column(2).to_pylist()) * _unit(b.column(4).to_pylist())).sum(1) >= cosine
+            close = (_unit(b.column(2)) * _unit(b.column(4))).sum(1) >= cosine
             yield b.select([0, 1, 3, 5]).filter(pa.array(close))
 
     linked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_v", "a_n", "b_v", "b_n")
@@ -167,7 +173,7 @@ def _links(
         one = x == y and i == j
         which = group.column("side").to_numpy()
         rep, code, n = (group.column(c).to_numpy() for c in ("rep", "code", "members"))
-        unit = _unit(group.column("v").to_pylist())
+        unit = _unit(group.column("v"))
         p, q = np.flatnonzero(which == 0), np.flatnonzero(which == (0 if one else 1))
         out = {"a": [], "b": [], "n": []}
         if len(p) and len(q):
