@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: inside a lambda, an outer expression is computed anew for
+    each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product; null if either is null or the lengths differ."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -18,12 +24,12 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column, eps: float | None = None) -> Column:
     """Unit vector in double. A zero vector stays as it is; with ``eps`` the norm is at least that."""
-    n = norm(v)
-    if eps is not None:
-        n = F.greatest(n, F.lit(eps))
-    else:
-        n = F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return F.transform(v, lambda x: x.cast("double") / n)
+
+    def scaled(w: Column) -> Column:
+        n = F.greatest(norm(w), F.lit(eps)) if eps is not None else F.when(norm(w) == 0, F.lit(1.0)).otherwise(norm(w))
+        return let(n, lambda m: F.transform(w, lambda x: x.cast("double") / m))
+
+    return F.when(v.isNotNull(), let(v, scaled))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -32,9 +38,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _stats(values: Column, name: str, size: Column) -> dict[str, Column]:
-    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    mean = total / size
-    spread = F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / size
+    spread = let(mean, lambda m: F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
     return {f"{name}_mean": mean, f"{name}_std": F.sqrt(spread / size)}
 
 
