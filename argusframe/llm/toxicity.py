@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
 from ._labels import held_out, training_sample
 
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
+FAINT = 0.1
 BLOCK = 256  # tokens in a row of the blocked recursions
 CACHE = 600_000  # words whose emission one Python worker remembers
 CHUNK = 1 << 20  # tokens worked on at once, at document ends
@@ -221,13 +223,16 @@ def fit_field(
 
 
 def document_features(one: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A row a document: 1, log1p of its expected number of toxic tokens, its largest marginal."""
+    """A row a document: 1, log1p of its expected number of toxic tokens, its largest marginal.
+
+    Marginals under ``FAINT`` aren't summed: in a long text, those of its many clean words would add up.
+    """
     x = np.zeros((len(lengths), 3))
     x[:, 0] = 1
     some = np.flatnonzero(lengths)
     if len(some):
         at = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
-        x[some, 1] = np.log1p(np.add.reduceat(one, at))
+        x[some, 1] = np.log1p(np.add.reduceat(np.where(one >= FAINT, one, 0.0), at))
         x[some, 2] = np.maximum.reduceat(one, at)
     return x
 
@@ -343,7 +348,7 @@ def toxicity(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, f"id {kind}, score double, n_toxic_tokens long, spans array<struct<begin:int,end:int>>")
     return scored.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
