@@ -162,7 +162,7 @@ ORACLE_SQL: dict[str, str] = {
         p AS (SELECT q, min(rank) AS f, avg(nth / rank) AS ap FROM h GROUP BY q)
         SELECT count(*) AS queries, round(avg((f <= 1)::INT), 6) AS rank1, round(avg((f <= 5)::INT), 6) AS rank5, round(avg((f <= 10)::INT), 6) AS rank10, round(avg(ap), 6) AS map FROM p""",
     "mean_similarity": f"""WITH {_OBS}, s AS (SELECT x.person, round(list_dot_product(x.vec, y.vec), 6) AS s FROM obs x JOIN obs y ON x.person = y.person AND x.item_id < y.item_id)
-        SELECT person, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, count(*) AS pairs FROM s GROUP BY person""",
+        SELECT person, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 8) AS median, count(*) AS pairs FROM s GROUP BY person""",
     "iou_pairs": f"""WITH {_DET}, p AS (SELECT a.frame, a.det_idx AS a_det_idx, b.det_idx AS b_det_idx, {_IOU} AS iou,
             sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) / 10 AS distance FROM det a JOIN det b ON a.frame = b.frame AND a.det_idx < b.det_idx)
         SELECT frame, a_det_idx, b_det_idx, round(iou, 6) AS iou, round(distance, 6) AS distance FROM p WHERE iou > 0""",

@@ -318,7 +318,7 @@ def mean_similarity(spark, d):
     o = observations(spark, d).select("person", "item_id", "vec")
     p = o.alias("x").join(o.alias("y"), (F.col("x.person") == F.col("y.person")) & (F.col("x.item_id") < F.col("y.item_id")))
     s = p.select(F.col("x.person").alias("person"), F.round(vec.dot(F.col("x.vec"), F.col("y.vec")), 6).alias("s"))
-    return s.groupBy("person").agg(F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", F.lit(0.5)), 6).alias("median"), F.count("*").alias("pairs"))
+    return s.groupBy("person").agg(F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", F.lit(0.5)), 8).alias("median"), F.count("*").alias("pairs"))
 
 
 # -- boxes and sightings -----------------------------------------------------------------------------------
