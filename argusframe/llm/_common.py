@@ -35,6 +35,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after holding the session's Arrow batches to at most ``BATCH_ROWS`` rows.
+
+    The default of 10,000 is meant for numbers: of whole documents, one such batch is many megabytes, several
+    times over, in the executor and in each of its Python workers.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 class Remembered(dict):
     """key -> ``make(key)``, remembered in two generations of at most ``limit`` short keys each.
 

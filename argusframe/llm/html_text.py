@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import bounded_batches, stored
 
 # Elements by what they mean in HTML.
 BLOCKS = frozenset(
@@ -208,7 +208,7 @@ def extract_text(
     """
     kind, spark = pages.schema[id_col].dataType.simpleString(), pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))
-    rows = pages.select(
+    rows = bounded_batches(pages).select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(url, F.col(html_col)).alias("mark"),
         F.lower(F.regexp_extract(url, r"^\w+://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:\w+://[^/?#]*)?([^?#]*)", 1).alias("path"),

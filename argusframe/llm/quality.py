@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
 from ._labels import held_out, training_sample
 
 PUNCTUATION = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
@@ -128,7 +129,7 @@ def quality_scores(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, f"id {kind}, score double")
     return scored.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
@@ -146,4 +147,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = 4000, id_col:
             x = np.array([features(t) for t in texts]).reshape(len(texts), N_FEATURES)
             yield b.filter(pa.array(model.score(x) >= model.at_cut, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered
+from ._common import Remembered, bounded_batches
 
 SPACE = "▁"  # fixed: the symbol that stands for a space
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed: piece types of the model file
@@ -325,7 +325,7 @@ def _worker(model: str) -> SpanEncoder:
 
 def _mapped(docs: DataFrame, id_col: str, text_col: str, each, schema: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(each, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 

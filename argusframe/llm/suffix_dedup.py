@@ -2,9 +2,9 @@
 
 A byte goes if it lies in a string of ``length`` bytes (a window) that also starts somewhere else. Sorting
 the suffix at every byte would move hundreds of times the input, so suffixes are sampled by content: the
-anchor of a window is, within its first half, the start of the 8 bytes of least hash, leftmost on ties.
-Equal windows have equal anchors at equal offsets, and about one byte in a hundred is an anchor; each
-stands for a run of neighbouring windows, its segment being the bytes that they cover.
+anchor of a window is, within its first three quarters, the start of the 8 bytes of least hash, leftmost on ties.
+Equal windows have equal anchors at equal offsets, and about one byte in 150 is an anchor; each stands for
+a run of neighbouring windows, its segment being the bytes that they cover.
 
 1. Each document's anchors, with a digest of the suffix's leading bytes (those that all the anchor's windows
    share: the class) and a digest of the segment. A class with one member holds no repeat. Segments that
@@ -27,9 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import bounded_batches, stored
 
 GRAM = 8
+TOGETHER = 2000  # segments that are sorted in one go, and as many more as the last class has
 CHUNK = 1 << 22  # bytes of documents looked at in one go (a longer document is taken alone)
 PLACE_BITS = 24  # of a position in the packed minima; longer documents are taken in overlapping parts
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
@@ -50,16 +51,21 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+def span_of(length: int) -> int:
+    """The bytes at a window's beginning that its anchor is looked for in."""
+    return length - length // 4
+
+
 def anchor_of_windows(data: np.ndarray, length: int) -> np.ndarray:
     """For each window start ``s`` of ``data`` (at most 2**24 bytes), the place of its anchor."""
-    width = length // 2 - GRAM + 1
-    h = _words(data[: len(data) - (length - length // 2)]) * MIX[0]
+    span = span_of(length)
+    h = _words(data[: len(data) - (length - span)]) * MIX[0]
     h ^= h >> np.uint64(32)
     h *= MIX[1]
     h >>= np.uint64(PLACE_BITS)
     h <<= np.uint64(PLACE_BITS)
     h |= np.arange(len(h), dtype=np.uint64)
-    return (_sliding_min(h, width) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    return (_sliding_min(h, span - GRAM + 1) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
 def anchors(docs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,9 +118,10 @@ def anchors(docs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.
 def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
     """For each segment, which of its windows occur twice or more in all ``segments``.
 
-    Multikey quicksort of the suffixes at all windows, eight bytes a step: suffixes that agree so far are
-    sorted by their next eight bytes, and those that stand alone then are done. What still stands together
-    after ``length`` bytes is equal.
+    Multikey quicksort of the suffixes at all windows: by their first eight bytes, and those that agree by
+    the digest of the whole window; those that stand alone after a step are done. Neighbours that still
+    stand together are compared over all ``length`` bytes; should a digest have brought different ones
+    together, its group is sorted on, eight bytes a step.
     """
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
     counts = np.maximum(0, sizes - length + 1)
@@ -124,26 +131,60 @@ def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
     offsets = np.cumsum(counts) - counts
     pos = np.arange(int(counts.sum())) + np.repeat(starts - offsets, counts)
     index = np.arange(len(pos))
-    group = np.zeros(len(pos), dtype=np.int64)
     depths = [*range(0, length - GRAM + 1, GRAM)]
     if length % GRAM:
         depths.append(length - GRAM)  # overlapping, so that it ends with the window
+    pos, index, group = _split(pos, index, np.zeros(len(pos), dtype=np.int64), words[pos])
+    pos, index, group = _split(pos, index, group, _digests(data, pos, length))
+    together = group[1:] == group[:-1]
+    same = together.copy()
     for d in depths:
-        if not len(pos):
-            break
-        word = words[pos + d]
-        order = np.lexsort((word, group)) if d else np.argsort(word, kind="stable")
-        pos, index, group, word = pos[order], index[order], group[order], word[order]
-        new = np.ones(len(pos), dtype=bool)
-        new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
-        alone = new & np.append(new[1:], True)
-        group = np.cumsum(new)[~alone]
-        pos, index = pos[~alone], index[~alone]
+        at = np.flatnonzero(same)
+        same[at] = words[pos[at] + d] == words[pos[at + 1] + d]
     repeated = np.zeros(int(counts.sum()), dtype=bool)
+    mixed = np.isin(group, group[1:][together & ~same])
+    repeated[index[~mixed]] = True
+    pos, index, group = pos[mixed], index[mixed], group[mixed]
+    for d in depths:
+        pos, index, group = _split(pos, index, group, words[pos + d])
     repeated[index] = True
     return np.split(repeated, np.cumsum(counts)[:-1]) if len(segments) else []
 
 
+def _split(pos: np.ndarray, index: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One step of the sort: groups parted by ``key``, without what is alone in its new group."""
+    order = np.lexsort((key, group)) if len(group) and group[0] != group[-1] else np.argsort(key, kind="stable")
+    pos, index, group, key = pos[order], index[order], group[order], key[order]
+    new = np.ones(len(pos), dtype=bool)
+    new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+    kept = ~(new & np.append(new[1:], True))
+    return pos[kept], index[kept], np.cumsum(new)[kept]
+
+
+BASE = 0x9E3779B97F4A7C15 | 1
+STRIDE = 1 << 20  # bytes whose powers are kept at hand
+
+
+def _digests(data: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
+    """A digest of the ``length`` bytes from each of ``pos`` on: a polynomial in ``BASE`` modulo 2**64, from
+    running sums over stretches of ``data``."""
+    size = min(STRIDE, len(data)) + length
+    power = np.cumprod(np.append(np.uint64(1), np.full(size, BASE, dtype=np.uint64)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(size, pow(BASE, -1, 1 << 64), dtype=np.uint64)))
+    out = np.empty(len(pos), dtype=np.uint64)
+    order = np.argsort(pos, kind="stable")
+    ranked = pos[order]
+    for lo in range(0, len(data), STRIDE):
+        a, z = np.searchsorted(ranked, (lo, lo + STRIDE))
+        if a == z:
+            continue
+        part = data[lo : lo + STRIDE + length].astype(np.uint64) + np.uint64(1)
+        sums = np.append(np.uint64(0), np.cumsum(part * power[: len(part)]))
+        at = ranked[a:z] - lo
+        out[order[a:z]] = (sums[at + length] - sums[at]) * back[at]
+    return out
+
+
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     """First and last of each run of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -162,7 +203,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(
-    docs: DataFrame, length: int = 400, hot: int = 4000, per_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 400, hot: int = 2000, per_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id, mark, lo, hi)``: byte spans that together cover what repeats; ``mark`` hashes the row's text.
 
@@ -172,11 +213,13 @@ def repeated_spans(
         raise ValueError(f"length must be {4 * GRAM} or more")
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("data"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("data"))
     rows = rows.where(F.octet_length("data") >= length)
-    lead = length - length // 2
+    lead = length - span_of(length)
 
     def scan(batches):
+        """A row a different segment of a document, with how often it has it; spans of those that it repeats
+        itself come as rows of count 0, so that periodic text is settled here and crowds no key."""
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             data = b.column(2).to_pylist()
@@ -184,27 +227,46 @@ def repeated_spans(
             where = list(zip(doc.tolist(), place.tolist(), first.tolist(), last.tolist()))
             keys = np.fromiter((digest(data[d][p : p + lead]) for d, p, _, _ in where), dtype=np.uint64, count=len(where))
             whole = np.fromiter((digest(data[d][a : z + length], 1) for d, _, a, z in where), dtype=np.uint64, count=len(where))
-            take = pa.array(doc)
+            order = np.lexsort((first, whole, keys, doc))
+            doc, place, first, last, keys, whole = (x[order] for x in (doc, place, first, last, keys, whole))
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])
+            head = np.flatnonzero(new)
+            count = np.diff(np.append(head, len(doc)))
+            again = np.repeat(count > 1, count)
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for d, a, z in zip(doc[again].tolist(), first[again].tolist(), (last[again] + length).tolist()):
+                spans.setdefault(d, []).append((a, z))
+            own = [(d, a, z - a - length) for d, pairs in spans.items() for a, z in merge_spans(pairs)]
+            zero = np.zeros(len(own), dtype=np.int64)
+            column = lambda i: np.array([o[i] for o in own], dtype=np.int64)
+            take = pa.array(np.concatenate([doc[head], column(0)]))
+            both = lambda x, y: pa.array(np.concatenate([x, y]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).take(take), b.column(1).take(take), pa.array(keys.view(np.int64)), pa.array(whole.view(np.int64)),
-                    pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16)), pa.array((place - first).astype(np.int16)),
+                    b.column(0).take(take), b.column(1).take(take), both(keys[head].view(np.int64), zero), both(whole[head].view(np.int64), zero),
+                    both(first[head], column(1)).cast(pa.int32()), both((last - first)[head], column(2)).cast(pa.int32()),
+                    both((place - first)[head], zero).cast(pa.int16()), both(count, zero),
                 ],
-                ["id", "mark", "key", "whole", "first", "more", "at"],
+                ["id", "mark", "key", "whole", "first", "more", "at", "count"],
             )
 
     found = stored(
-        rows.mapInArrow(scan, f"id {kind}, mark long, key long, whole long, first int, more short, at short"), "anchors"
+        rows.mapInArrow(scan, f"id {kind}, mark long, key long, whole long, first int, more int, at short, count long"), "anchors"
     )
+    hi = (F.col("first") + F.col("more") + length).alias("hi")
+    own = found.where("count = 0").select("id", "mark", F.col("first").alias("lo"), hi)
+    found = found.where("count > 0")
     segments = found.groupBy("key", "whole").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "mark", "first", "more", "at")).alias("one")
+        F.sum("count").alias("n"), F.min(F.struct("id", "mark", "first", "more", "at")).alias("one")
     )
     classes = segments.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("members"), F.min("n").alias("least"))
     classes = classes.where("members > 1")
     segments = stored(segments.join(classes, "key"), "segments")
 
-    whole = found.join(segments.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi").select(
-        "id", "mark", F.col("first").alias("lo"), (F.col("first") + F.col("more") + length).alias("hi")
+    once = found.where("count = 1").select("id", "mark", "key", "whole", "first", "more")
+    whole = once.join(segments.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi").select(
+        "id", "mark", F.col("first").alias("lo"), hi
     )
     open_ = segments.where("kinds > 1 and least = 1").selectExpr(
         "key", "n", "kinds", "one.id as id", "one.mark as mark", "one.first as first", "one.more as more", "one.at as at"
@@ -222,31 +284,49 @@ def repeated_spans(
     normal, crowded = cut.where(F.col("kinds") <= hot), cut.where(F.col("kinds") > hot)
 
     def sort(batches):
-        ids, rest, segs = [], [], []
+        """The bucket's classes, one after the other: rows come in the order of their leading bytes, and some
+        whole classes at a time are sorted on."""
+        ids, rest, segs, last = [], [], [], None
+
+        def settle():
+            own = pa.concat_tables(ids)
+            which, lo, hi = [], [], []
+            for i, ((n, first), flags) in enumerate(zip(rest, repeated_windows(segs, length))):
+                if n == 1:  # the others are repeated whole
+                    for a, z in _runs(flags):
+                        which.append(i)
+                        lo.append(first + a)
+                        hi.append(first + z + length)
+            picked = own.take(pa.array(which, pa.int64()))
+            table = pa.table([*picked.columns, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["id", "mark", "lo", "hi"])
+            return table.combine_chunks().to_batches()
+
         for b in batches:
-            ids.append(pa.table([b.column(0), b.column(1)], ["id", "mark"]))
-            rest += zip(b.column(2).to_pylist(), b.column(3).to_pylist())
-            segs += b.column(4).to_pylist()
-        if not segs:
-            return
-        own = pa.concat_tables(ids)
-        which, lo, hi = [], [], []
-        for i, ((n, first), flags) in enumerate(zip(rest, repeated_windows(segs, length))):
-            if n == 1:  # the others are repeated whole
-                for a, z in _runs(flags):
-                    which.append(i)
-                    lo.append(first + a)
-                    hi.append(first + z + length)
-        picked = own.take(pa.array(which, pa.int64()))
-        yield from pa.table(
-            [*picked.columns, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["id", "mark", "lo", "hi"]
-        ).combine_chunks().to_batches()
+            leads = b.column(5).to_pylist()
+            n, first, seg = (b.column(k).to_pylist() for k in (2, 3, 4))
+            at = 0
+            for i, lead_ in enumerate(leads):
+                if lead_ != last and len(segs) + i - at >= TOGETHER:
+                    part = b.slice(at, i - at)
+                    ids.append(pa.table([part.column(0), part.column(1)], ["id", "mark"]))
+                    rest += zip(n[at:i], first[at:i])
+                    segs += seg[at:i]
+                    yield from settle()
+                    ids, rest, segs, at = [], [], [], i
+                last = lead_
+            part = b.slice(at)
+            ids.append(pa.table([part.column(0), part.column(1)], ["id", "mark"]))
+            rest += zip(n[at:], first[at:])
+            segs += seg[at:]
+        if segs:
+            yield from settle()
 
     spans = f"id {kind}, mark long, lo int, hi int"
     buckets = max(1, -(-normal.count() // per_bucket))
     by_lead = normal.withColumn("lead", F.expr(f"substring(segment, at + 1, {lead})"))
     sorted_ = (
-        by_lead.repartitionByRange(buckets, "lead").select("id", "mark", "n", "first", "segment").mapInArrow(sort, spans)
+        by_lead.repartitionByRange(buckets, "lead").sortWithinPartitions("lead")
+        .select("id", "mark", "n", "first", "segment", "lead").mapInArrow(sort, spans)
     )
 
     def digests(batches):
@@ -273,20 +353,25 @@ def repeated_spans(
     spread = each.where("n = 1").join(twice, "sum", "left_semi").select(
         "id", "mark", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")
     )
-    return whole.unionByName(sorted_).unionByName(spread)
+    return own.unionByName(whole).unionByName(sorted_).unionByName(spread)
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = 4000, extra: tuple[str, ...] = ()
+    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = 2000
 ) -> DataFrame:
     """One row a row of ``docs``: ``<id_col>, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` (binary).
 
     Bytes covered by a string of ``length`` bytes that also starts elsewhere, in the same document or in
     another, are cut; strings are judged on the input. Null text counts as empty; texts shorter than
     ``length`` are whole. Rows that repeat a text lose it all (if long enough), whatever their ids.
-    ``kept_text`` are the remaining bytes: a cut may fall inside a character.
-    ``extra`` names further columns of ``docs`` to carry along.
+    ``kept_text`` are the remaining bytes: a cut may fall inside a character. Other columns are neither read
+    nor returned.
     """
+    return _cut(docs, length, id_col, text_col, hot, ()).withColumnRenamed("id", id_col)
+
+
+def _cut(docs: DataFrame, length: int, id_col: str, text_col: str, hot: int, extra: tuple[str, ...]) -> DataFrame:
+    """What ``remove_repeats`` returns, the id as ``id``, and the columns ``extra`` as ``x0, x1, ..``."""
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, length, hot, id_col=id_col, text_col=text_col)
     lists = spans.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -322,17 +407,13 @@ def remove_repeats(
             )
 
     more = "".join(f", x{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
-    out = joined.mapInArrow(
+    return joined.mapInArrow(
         cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary{more}"
     )
-    return out.select(
-        F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text",
-        *[F.col(f"x{i}").alias(c) for i, c in enumerate(extra)],
-    )
 
 
 def without_repeats(
-    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **options
+    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", hot: int = 2000
 ) -> DataFrame:
     """``docs`` with its own columns and all its rows, each text without the repeated bytes.
 
@@ -340,7 +421,7 @@ def without_repeats(
     there, becomes the new number of characters.
     """
     extra = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    out = remove_repeats(docs, length, id_col, text_col, extra=extra, **options)
+    out = _cut(docs, length, id_col, text_col, hot, extra)
 
     def decode(batches):
         for b in batches:
@@ -349,7 +430,7 @@ def without_repeats(
 
     names = ["id", *[f"x{i}" for i in range(len(extra))]]
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *extra)]
-    done = out.select(F.col("kept_text"), F.col(id_col).alias("id"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(extra)]).mapInArrow(
+    done = out.select("kept_text", *names).mapInArrow(
         decode, "text string, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
     )
     source = {id_col: "id", text_col: "text"} | {c: f"x{i}" for i, c in enumerate(extra)}

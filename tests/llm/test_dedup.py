@@ -230,3 +230,17 @@ def test_repeats_ids_and_columns(spark):
     assert out.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars, r.n_bytes) for r in out.collect()} == {0: ("", 0, "n"), 1: ("é", 1, "n"), 2: ("", 0, "n")}
     assert suffix_dedup.remove_repeats(frame(spark, []), 40).collect() == []
+
+
+def test_windows_are_compared_when_digests_collide(monkeypatch):
+    rng = random.Random(9)
+    segments = ["".join(rng.choice("ab") for _ in range(rng.randint(30, 70))).encode() for _ in range(60)]
+    segments += [segments[0][3:], b"short", segments[1]]
+    seen = Counter(s[i : i + 20] for s in segments for i in range(len(s) - 19))
+    want = [[seen[s[i : i + 20]] > 1 for i in range(max(0, len(s) - 19))] for s in segments]
+    assert [f.tolist() for f in suffix_dedup.repeated_windows(segments, 20)] == want
+    monkeypatch.setattr(suffix_dedup, "_digests", lambda data, pos, length: np.zeros(len(pos), dtype=np.uint64))
+    assert [f.tolist() for f in suffix_dedup.repeated_windows(segments, 20)] == want
+    monkeypatch.undo()
+    monkeypatch.setattr(suffix_dedup, "STRIDE", 64)
+    assert [f.tolist() for f in suffix_dedup.repeated_windows(segments, 20)] == want
