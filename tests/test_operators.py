@@ -282,3 +282,36 @@ def test_annotations(spark, tmp_path):
     (tmp_path / "samples.json").write_text(json.dumps({"samples": [{"scene": "x", "frame": 3, "width": 100, "height": 50, "detections": d}]}, indent=1))
     got = sorted(tuple(r) for r in sequences.read_annotations(spark, str(tmp_path / "samples.json"), ["people", "car"]).collect())
     assert got == [("x", 3, 0, 10.0, 10.0, 50.0, 25.0, 1, 1, 0.5), ("x", 3, 1, 0.0, 0.0, 100.0, 50.0, 0, 0, 1.0)]
+
+
+def test_engine(spark, tmp_path):
+    from argusframe.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "memory"), min_score=0.1)
+    schema = "identity_id long, label string, first_seen double, last_seen double, appearances long, vecs array<array<double>>"
+    rng = np.random.default_rng(0)
+    near = lambda k: [(np.eye(4)[k] + 0.05 * rng.normal(size=4)).tolist() for _ in range(9)]
+    e.remember(spark.createDataFrame([(1, "p", 0.0, 1.0, 9, near(0)), (2, "p", 0.0, 1.0, 9, near(1)), (3, "c", 0.0, 1.0, 9, near(2))], schema))
+    q = spark.createDataFrame([(5, [1.0, 0.1, 0.0, 0.0]), (5, [0.9, 0.0, 0.0, 0.0])], "query_id long, vec array<double>")
+    assert [r.identity_id for r in e.similar(q, "p", 2).orderBy("rank").collect()] == [1, 2]
+    assert [r.identity_id for r in e.similar(q, "c", 1).collect()] == []
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.8, 0.6]), (9, [1.0, 0.0])], "identity_id long, vec array<double>")
+    t = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vec array<double>")
+    assert {r.identity_id for r in e.find(t, index, 3).collect()} == {1, 3}
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 0.0, 0.0, 1.0])], "item_id long, vec array<double>")
+    s = {r.item_id: r.score for r in e.anomalies(rows, "p").collect()}
+    assert s[2] > s[1] and e.anomalies(rows, "none") is None and e.baseline("p").count() == 18
+    e.merge(spark.createDataFrame([(1, 2)], "keep_id long, absorb_id long"))
+    e.forget(spark.createDataFrame([(3,)], "identity_id long"))
+    assert [r.identity_id for r in e.store.load()[0].collect()] == [1]
+
+
+def test_newest_frame_mailbox(spark, tmp_path):
+    from argusframe.streaming.sources import frame_files, newest_only
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 7)], "seq string, frame int")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = frame_files(spark, str(tmp_path / "in"), df.schema).writeStream.foreachBatch(newest_only(lambda b, i: seen.extend(map(tuple, b.collect())))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(seen) == [("a", 2), ("b", 7)]
