@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
 from .search import top_k
 
 
@@ -31,9 +32,8 @@ def percentile_in(scores: DataFrame, baseline: DataFrame) -> DataFrame:
     """
     both = baseline.groupBy("score").agg(F.count("*").alias("b")).unionByName(scores.select("score", F.lit(0).cast("long").alias("b")).distinct())
     both = both.groupBy("score").agg(F.sum("b").alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("b").over(Window.partitionBy())
-    return scores.join(both.select("score", (below / total).alias("share")), "score").select("item_id", "score", "share")
+    shares = running(both, "score", {"below": "b"}, inclusive=False).join(F.broadcast(both.agg(F.sum("b").alias("total"))))
+    return scores.join(shares.select("score", (F.col("below") / F.col("total")).alias("share")), "score").select("item_id", "score", "share")
 
 
 @dataclass

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, centre_distance, continuity, iou
+from .running import running
 
 
 def frame_pairs(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("seq", "frame"), prefix: tuple[str, str] = ("a_", "b_")) -> DataFrame:
@@ -103,8 +104,7 @@ def coalive_counts(tracks: DataFrame) -> DataFrame:
     ends = tracks.groupBy(F.col("last").alias("frame")).agg(F.count("*").alias("e"))
     flash = tracks.where("first = last").groupBy(F.col("first").alias("frame")).agg(F.count("*").alias("z"))
     frames = starts.join(ends, "frame", "full").join(flash, "frame", "full").na.fill(0)
-    w = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    sums = frames.select("frame", F.sum("s").over(w).alias("s"), F.sum("e").over(w).alias("e"), F.col("s").alias("s0"), F.col("e").alias("e0"), "z")
+    sums = running(frames.select("frame", F.col("s").alias("s0"), F.col("e").alias("e0"), "z"), "frame", {"s": "s0", "e": "e0"})
     a = sums.select(F.col("frame").alias("first"), (F.col("e") - F.col("e0")).alias("ended"), F.col("e").alias("ended_at"), F.col("z").alias("z1"), F.col("s0").alias("begun_with"))
     b = sums.select(F.col("frame").alias("last"), F.col("s").alias("begun"), (F.col("s") - F.col("s0")).alias("begun_before"))
     t = tracks.join(a, "first").join(b, "last")

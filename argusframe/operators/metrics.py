@@ -8,20 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import dot
+from .running import running
 
 
 def by_score(scored: DataFrame) -> DataFrame:
     """``scored(score, y)`` -> ``score, pos, neg`` and what lies at or above: ``tp, fp``, and ``p, n`` in all.
 
-    Scores are grouped first, so the ordered window runs over distinct scores and not over rows.
+    Scores are grouped first, and the running sums are taken range by range.
     """
     g = scored.groupBy("score").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("neg"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return g.select(
-        "score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"),
-    )
+    every = g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return running(g, "score", {"tp": "pos", "fp": "neg"}, descending=True).join(F.broadcast(every))
 
 
 def auroc(scored: DataFrame, empty: float | None = 0.5) -> DataFrame:
@@ -39,10 +36,10 @@ def auroc(scored: DataFrame, empty: float | None = 0.5) -> DataFrame:
 def youden_threshold(scored: DataFrame) -> DataFrame:
     """One row, ``threshold``: midway between the score that maximises TPR - FPR (the lowest on ties) and the
     next lower one. No row where a class is missing."""
-    g = by_score(scored).where("p > 0 and n > 0")
-    g = g.select("score", (F.col("tp") / F.col("p") - F.col("fp") / F.col("n")).alias("gain"), F.lag("score").over(Window.orderBy("score")).alias("lower"))
-    best = g.orderBy(F.desc(F.round("gain", 12)), "score").limit(1)
-    return best.select(((F.col("score") + F.coalesce("lower", "score")) / 2).alias("threshold"))
+    g = by_score(scored).where("p > 0 and n > 0").select("score", (F.col("tp") / F.col("p") - F.col("fp") / F.col("n")).alias("gain"))
+    best = g.orderBy(F.desc(F.round("gain", 12)), "score").limit(1).select(F.col("score").alias("best"))
+    lower = scored.select("score").join(F.broadcast(best)).where("score < best").agg(F.max("score").alias("lower"))
+    return best.join(lower).select(((F.col("best") + F.coalesce("lower", "best")) / 2).alias("threshold"))
 
 
 def false_merge_cut(scored: DataFrame, rate: float) -> DataFrame:
@@ -50,11 +47,8 @@ def false_merge_cut(scored: DataFrame, rate: float) -> DataFrame:
 
     The boundary is the next number up from ``cut`` (see ``boundary_above``).
     """
-    neg = scored.where("y = 0")
-    down = Window.orderBy(F.desc("score"))
-    ranked = neg.groupBy("score").agg(F.count("*").alias("c")).select(
-        "score", "c", F.sum("c").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n")
-    )
+    neg = scored.where("y = 0").groupBy("score").agg(F.count("*").alias("c"))
+    ranked = running(neg, "score", {"upto": "c"}, descending=True).join(F.broadcast(neg.agg(F.sum("c").alias("n"))))
     ranked = ranked.withColumn("allowed", F.floor(F.lit(rate) * F.col("n")))
     return ranked.where("upto > allowed").orderBy(F.desc("score")).limit(1).select(
         F.col("n").cast("long"), F.col("allowed").cast("long"), F.col("score").alias("cut")
@@ -161,6 +155,5 @@ def retrieval(observations: DataFrame, digits: int = 6) -> DataFrame:
 
 def trapezoid_auroc(scored: DataFrame) -> DataFrame:
     """AUROC as the area under the curve over single rows: ties aren't averaged; rows tie by ``key``."""
-    w = Window.orderBy(F.desc("score"), "key")
-    rows = scored.withColumn("tp", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(scored, "score", {"tp": "y"}, "key", descending=True)
     return rows.agg((F.sum(F.when(F.col("y") == 0, F.col("tp"))) / F.sum("y") / F.sum(1 - F.col("y"))).alias("auroc"))
