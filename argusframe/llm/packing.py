@@ -335,7 +335,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 32, salts: int =
     spark = pieces.sparkSession
     rows = stored(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts))), "pieces")
     counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = stored(counts, "piece-counts")
+    counts = stored(counts.coalesce(8), "piece-counts")  # at most capacity * salts rows
     hist = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     plan = plan_rows(plan_bins(hist, capacity, groups))
     schema = "length long, first long, last long, sequence long, per long, offset long"

@@ -104,9 +104,8 @@ def link_fingerprints(fps: DataFrame, hot: int = 64) -> DataFrame:
     other = F.when(F.col("seg") == 0, F.shiftrightunsigned("fp", SEGMENT)).otherwise(low)
     table = table.select("seg", "val", "fp", other.alias("rest"))
     sizes = table.groupBy("seg", "val").agg(F.count("*").alias("n"))
-    crowded = sizes.where(F.col("n") > hot).select("seg", "val")
     table = stored(table.join(sizes, ["seg", "val"]), "simhash-table")
-    crowded = stored(crowded, "simhash-crowded")
+    crowded = table.where(F.col("n") > hot).select("seg", "val").distinct()
     probes = table.select("seg", F.col("val").alias("own"), _ball(F.col("val")).alias("val"), "fp", "rest")
 
     small = table.where(F.col("n") <= hot).select("seg", "val", F.col("fp").alias("b"))
@@ -201,7 +200,7 @@ def near_duplicate_groups(
 
     prints = stored(base.mapInArrow(run, f"id {kind}, fp long, f1 long, f2 long, f3 long, keys array<long>"), "wide-prints")
     bits = ["fp", "f1", "f2", "f3"]
-    narrow = stored(_components_of(prints.select("id", "fp"), hot).select("id", "component_id"), "narrow-groups")
+    narrow = _components_of(prints.select("id", "fp"), hot).select("id", "component_id")
     nodes = stored(prints.where("id is not null").groupBy(*bits, "keys").agg(F.min("id").alias("rep")), "wide-nodes")
     member = prints.drop("keys").join(nodes.drop("keys"), bits).select("id", "rep")
     equal = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -211,7 +210,6 @@ def near_duplicate_groups(
     table = nodes.select("rep", F.posexplode("keys").alias("t", "val")).select(
         (F.col("t").cast("long") * F.lit(1 << KEY_BITS) + F.col("val").bitwiseAND(F.lit((1 << width) - 1))).alias("slot"), "rep"
     )
-    table = stored(table, "wide-table")
     apart = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in bits)
 
     leaders = table.groupBy("slot").agg(F.min("rep").alias("a"))

@@ -67,14 +67,15 @@ def test_keep_one_keeps_columns_and_the_largest_id(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 4, 5, 7, 8, 9]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 10])
+def test_components(spark, one_task):
     rng = random.Random(0)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(0, i) for i in range(1, 40)] + [(5, 5)]
     df = spark.createDataFrame([*pairs, (None, 3)], "a long, b long").repartition(4)
-    got = {r.node: r.component for r in connected_components(df).collect()}
+    got = {r.node: r.component for r in connected_components(df, one_task=one_task).collect()}
     head = unite(200, pairs)
     assert got == {i: head[i] for p in pairs if p[0] != p[1] for i in p}
-    assert connected_components(df.limit(0)).collect() == []
+    assert connected_components(df.limit(0), one_task=one_task).collect() == []
 
 
 def brute_fingerprint(text):
