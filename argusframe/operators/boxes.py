@@ -55,15 +55,37 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, thresho
 
 
 def nms(detections: DataFrame, threshold: float, by: tuple[str, ...] = ("seq", "frame")) -> DataFrame:
-    """``by, det_idx``: detections that survive suppression within their frame and class."""
+    """``by, det_idx``: detections that survive suppression within their frame and class.
+
+    Frames are dealt out by hash and come to Python many at a time, sorted; one that a batch cuts in two is
+    carried over to the next.
+    """
     kinds = ", ".join(f"{c} {detections.schema[c].dataType.simpleString()}" for c in (*by, "det_idx"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("det_idx").reset_index(drop=True)
-        keep = suppress(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["score"].to_numpy(float), pdf["class_id"].to_numpy(), threshold)
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = pdf[list(by)]
+        start = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
+        at = [pdf[c].to_numpy() for c in ("score", "class_id")]
+        corners = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        keep = [i + a for a, z in zip(start, [*start[1:], len(pdf)]) for i in suppress(corners[a:z], at[0][a:z].astype(float), at[1][a:z], threshold)]
         return pdf.iloc[keep][[*by, "det_idx"]]
 
-    return detections.groupBy(*by).applyInPandas(run, kinds)
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last = (pdf[list(by)] == pdf[list(by)].iloc[-1]).all(axis=1).to_numpy()
+            head = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            rest = pdf.iloc[head:].reset_index(drop=True)
+            if head:
+                yield settle(pdf.iloc[:head].reset_index(drop=True))
+        if rest is not None:
+            yield settle(rest)
+
+    columns = [*by, "det_idx", "x1", "y1", "x2", "y2", "score", "class_id"]
+    return detections.select(*columns).repartition(*by).sortWithinPartitions(*by, "det_idx").mapInPandas(run, kinds)
 
 
 def decode_predictions(predictions: DataFrame, least: float, classes: list[int] | None = None) -> DataFrame:

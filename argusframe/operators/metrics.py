@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import dot
 from .running import running
+from .search import QUERY_BOUND
 
 
 def by_score(scored: DataFrame) -> DataFrame:
@@ -77,12 +80,42 @@ def quantiles(rows: DataFrame, value: str, shares: list[float], *by: str) -> Dat
     return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
 
 
+def _bounded(rows: DataFrame) -> pd.DataFrame | None:
+    """The rows, if there are at most ``QUERY_BOUND``."""
+    head = rows.where("vec is not null").limit(QUERY_BOUND + 1).toPandas()
+    return head if 0 < len(head) <= QUERY_BOUND else None
+
+
+def _scores_against(observations: DataFrame, bank: pd.DataFrame, digits: int) -> DataFrame:
+    """``track, identity_id, item_id, best``: each observation's best cosine to each identity of ``bank``."""
+    bank = bank.sort_values("identity_id", kind="stable")
+    ids, first = np.unique(bank["identity_id"].to_numpy(), return_index=True)
+    sent = observations.sparkSession.sparkContext.broadcast((ids, first, np.array(bank["vec"].tolist(), dtype=np.float64)))
+
+    def run(batches):
+        ids, first, e = sent.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                best = np.maximum.reduceat(np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ e.T, digits), first, axis=1)
+                yield pd.DataFrame({
+                    "track": np.repeat(part["track"].to_numpy(), len(ids)), "identity_id": np.tile(ids, len(part)),
+                    "item_id": np.repeat(part["item_id"].to_numpy(), len(ids)), "best": best.ravel(),
+                })
+
+    rows = observations.where("vec is not null").select("track", "item_id", "vec")
+    return rows.mapInPandas(run, "track long, identity_id long, item_id long, best double")
+
+
 def identity_scores(observations: DataFrame, exemplars: DataFrame, on: str | None, quantile: float, digits: int = 6) -> DataFrame:
     """``track, identity_id, score``: of a track's observations' best cosines to an identity, a high quantile.
 
     The best exemplar counts, as exemplars are chosen to differ; over observations a quantile, as a single
-    frame proves little. ``on`` names a column that both must share (label, sequence).
+    frame proves little. ``on`` names a column that both must share (label, sequence). Without it, up to
+    ``QUERY_BOUND`` exemplars go to the observations' tasks as a matrix.
     """
+    if on is None and (bank := _bounded(exemplars.select("identity_id", "vec"))) is not None:
+        return _scores_against(observations, bank, digits).groupBy("track", "identity_id").agg(F.percentile("best", F.lit(quantile)).alias("score"))
     e = exemplars.select("identity_id", F.col("vec").alias("e"), *([on] if on else []))
     o = observations.select("track", "item_id", "vec", *([on] if on else []))
     pairs = o.join(e, on) if on else o.crossJoin(e)
@@ -142,9 +175,35 @@ def ranked_gallery(observations: DataFrame, digits: int = 6) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w))
 
 
+def _hit_ranks(queries: DataFrame, bank: pd.DataFrame, digits: int) -> DataFrame:
+    """``query, rank`` of the hits in each usable query's gallery."""
+    bank = bank.sort_values("item_id", kind="stable")
+    sent = queries.sparkSession.sparkContext.broadcast((bank["person"].to_numpy(), bank["track"].to_numpy(), np.array(bank["vec"].tolist(), dtype=np.float64)))
+
+    def run(batches):
+        person, track, e = sent.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                s = np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ e.T, digits)
+                own = part["track"].to_numpy()[:, None] == track[None, :]
+                order = np.argsort(np.where(own, np.inf, -s), axis=1, kind="stable")
+                hit = (part["person"].to_numpy()[:, None] == person[None, :]) & ~own
+                row, place = np.nonzero(np.take_along_axis(hit, order, axis=1))
+                yield pd.DataFrame({"query": part["item_id"].to_numpy()[row], "rank": place + 1})
+
+    return queries.where("vec is not null").mapInPandas(run, "query long, rank long")
+
+
 def retrieval(observations: DataFrame, digits: int = 6) -> DataFrame:
-    """One row: ``queries, rank1, rank5, rank10, map``."""
-    r = ranked_gallery(observations, digits).where("hit = 1")
+    """One row: ``queries, rank1, rank5, rank10, map``.
+
+    A gallery of up to ``QUERY_BOUND`` observations goes to the queries' tasks as a matrix; each gives the
+    ranks of its hits.
+    """
+    o = observations.select("item_id", "person", "track", "vec")
+    bank = _bounded(o)
+    r = ranked_gallery(observations, digits).where("hit = 1") if bank is None else _hit_ranks(o, bank, digits)
     r = r.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
     per = r.groupBy("query").agg(F.min("rank").alias("first"), F.avg(F.col("nth") / F.col("rank")).alias("ap"))
     within = lambda k: F.avg((F.col("first") <= k).cast("double"))

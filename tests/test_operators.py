@@ -315,3 +315,43 @@ def test_newest_frame_mailbox(spark, tmp_path):
     q = frame_files(spark, str(tmp_path / "in"), df.schema).writeStream.foreachBatch(newest_only(lambda b, i: seen.extend(map(tuple, b.collect())))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(seen) == [("a", 2), ("b", 7)]
+
+
+@pytest.mark.parametrize("bound", [20_000, 2])
+def test_forms_of_retrieval_and_identity_scores_agree(spark, monkeypatch, bound):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(4)), int(rng.integers(8)), i, rng.normal(size=4).round(1).tolist()) for i in range(40)]
+    o = spark.createDataFrame(rows, "item_id long, person long, track long, frame long, vec array<double>")
+    monkeypatch.setattr(metrics, "QUERY_BOUND", bound)
+    r = metrics.retrieval(o).first()
+    firsts = []
+    for i, p, t, _, v in rows:
+        if len({x[2] for x in rows if x[1] == p} - {t}) and len({x[2] for x in rows if x[1] == p}) > 1:
+            order = sorted((x for x in rows if x[2] != t), key=lambda x: (-round(float(np.dot(v, x[4])), 6), x[0]))
+            firsts.append(next(k for k, x in enumerate(order, 1) if x[1] == p))
+    assert r.queries == len(firsts) and r.rank5 == pytest.approx(np.mean([f <= 5 for f in firsts]))
+    e = o.where("item_id < 10").select(F.col("person").alias("identity_id"), "vec")
+    got = {(x.track, x.identity_id): x.score for x in metrics.identity_scores(o, e, None, 0.75).collect()}
+    for t, k in got:
+        best = [max(round(float(np.dot(x[4], y[4])), 6) for y in rows[:10] if y[1] == k) for x in rows if x[2] == t]
+        assert got[t, k] == pytest.approx(np.percentile(best, 75))
+
+
+def test_suppression_over_cut_batches(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(f), i, *(xy := rng.integers(0, 12, 2).astype(float)).tolist(), *(xy + 10).tolist(), float(rng.integers(5)), int(rng.integers(2))) for f in range(30) for i in range(int(rng.integers(1, 6)))]
+    df = spark.createDataFrame(rows, "frame long, det_idx long, x1 double, y1 double, x2 double, y2 double, score double, class_id int")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "3")
+        got = sorted(map(tuple, boxes.nms(df, 0.3, ("frame",)).collect()))
+    finally:
+        spark.conf.set(key, old)
+    want = []
+    for f in range(30):
+        part = [r for r in rows if r[0] == f]
+        a = np.array([r[2:6] for r in part])
+        want += [(f, part[i][1]) for i in boxes.suppress(a, np.array([r[6] for r in part]), np.array([r[7] for r in part]), 0.3)]
+    assert got == sorted(want)
+    assert boxes.nms(df.limit(0), 0.3, ("frame",)).collect() == []
