@@ -82,6 +82,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+              AND len([1 FOR x IN embedding IF x != 0]) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id != b.vec_id AND len(a.v) = len(b.v)
+                  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN least USING (vec_id)
+    """,
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
