@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_FOLDER = f"argusframe-{uuid.uuid4().hex}"  # this driver's own, in the shared folder
+_written: set[str] = set()
+
+
+@atexit.register
+def _clean() -> None:
+    """Results read what ``stored`` wrote until the driver ends; then it goes, if Spark still runs."""
+    sc = SparkContext._active_spark_context
+    with contextlib.suppress(Exception):
+        for root in _written if sc else ():
+            path = sc._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts lineage: an executor lost later costs no recomputation of what stands before. An empty
-    frame comes back empty, with the same schema.
+    frame comes back empty, with the same schema. The files go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/argusframe/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/{_FOLDER}"
+    _written.add(root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
