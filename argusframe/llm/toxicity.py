@@ -36,19 +36,20 @@ def label_features(texts: list[list[str]], labels: list[int], least: int = 3, tr
     Documents carry the labels, tokens don't. Greedily, the feature that explains most toxic documents not
     yet explained is taken, if, of the documents with it, at least ``trust`` are toxic, and if it is in so
     many (``least`` at least) that among all features less than one would be by chance. Equal texts count
-    once. On ties the longer, then the alphabetically first.
+    once. On ties the longer, then the alphabetically last.
     """
     toxic, clean = Counter(), Counter()
-    docs: list[set[str]] = []
-    for words, y in {(tuple(w), y) for w, y in zip(texts, labels)}:
-        found = {f for w in set(words) for f in word_features(w)}
-        (toxic if y else clean).update(found)
-        if y:
-            docs.append(found)
-    share = min(0.95, max(0.02, len(docs) / max(1, len({tuple(w) for w in texts}))))
+    seen: dict[tuple[int, int], int] = {}  # equal texts, by two hashes of their words
+    for i, (words, y) in enumerate(zip(texts, labels)):
+        seen.setdefault((hash(tuple(words)), 2 * len(words) + y), i)
+    for i in seen.values():
+        (toxic if labels[i] else clean).update({f for w in set(texts[i]) for f in word_features(w)})
+    bad = [i for i in seen.values() if labels[i]]
+    share = min(0.95, max(0.02, len(bad) / max(1, len(seen))))
     least = max(least, int(np.ceil(np.log(max(2, len(toxic))) / -np.log(share))))
     able = {f for f, n in toxic.items() if n >= least and n >= trust * (n + clean[f])}
-    docs = [d & able for d in docs]
+    # a second look, which holds but the few features that may be taken
+    docs = [{f for w in set(texts[i]) for f in word_features(w) if f in able} for i in bad]
     open_, chosen = Counter(f for d in docs for f in d), []
     holders: dict[str, list[int]] = {}
     for i, d in enumerate(docs):
