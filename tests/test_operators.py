@@ -355,3 +355,17 @@ def test_suppression_over_cut_batches(spark):
         want += [(f, part[i][1]) for i in boxes.suppress(a, np.array([r[6] for r in part]), np.array([r[7] for r in part]), 0.3)]
     assert got == sorted(want)
     assert boxes.nms(df.limit(0), 0.3, ("frame",)).collect() == []
+
+
+def test_cache_and_weights(spark, tmp_path):
+    from argusframe.sources import cache
+
+    schema, path = "seq string, frame int, v double", str(tmp_path / "cache")
+    frames = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "seq string, frame int")
+    assert cache.still_to_do(frames, cache.read_cache(spark, path, schema)).count() == 3
+    cache.append_frames(spark.createDataFrame([("a", 1, 0.5)], schema), path)
+    assert sorted(map(tuple, cache.still_to_do(frames, cache.read_cache(spark, path, schema)).collect())) == [("a", 2), ("b", 1)]
+    w = {"projection": np.arange(6.0).reshape(2, 3), "bias": np.array([1.5])}
+    cache.save_weights(spark, str(tmp_path / "w"), w)
+    back = cache.load_weights(spark, str(tmp_path / "w"))
+    assert all((back[k] == w[k]).all() and back[k].shape == w[k].shape for k in w)
