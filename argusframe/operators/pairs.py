@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import overlaps
 from ..functions.vec import dot
+from .running import running
 
 
 def _hash_order(*cols: str, seed: int = 0) -> list[Column]:
@@ -112,14 +115,20 @@ def split_by_owner(pairs: DataFrame, is_test: Column, owner_a: str = "owner_a",
 def random_owners(pairs: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """``owner, test``: a hash permutation's first share of owners; at least one on each side."""
     owners = pairs.select(F.col("owner_a").alias("owner")).union(pairs.select(F.col("owner_b").alias("owner"))).distinct()
-    w = Window.orderBy(*_hash_order("owner", seed=seed))
     n = owners.count()
     test = min(max(round(fraction * n), 1), max(n - 1, 1))
-    return owners.withColumn("nth", F.row_number().over(w)).select("owner", (F.col("nth") <= test).alias("test"))
+    return _numbered(owners, "owner", seed=seed).select("owner", (F.col("nth") <= test).alias("test"))
+
+
+def _numbered(rows: DataFrame, *key: str, seed: int) -> DataFrame:
+    """``rows`` with ``nth``, their place from 1 in the random order of ``key``, counted range by range."""
+    hashed = rows.withColumns({"__one": F.lit(1), "__hash": F.xxhash64(F.lit(seed), *key)})
+    return running(hashed, "__hash", {"nth": "__one"}, *key).drop("__one", "__hash")
 
 
 def balance(rows: DataFrame, label: str = "y", *key: str, seed: int = 0) -> DataFrame:
     """Equal numbers of each class, chosen by hash of ``key``."""
-    least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    w = Window.partitionBy(label).orderBy(*_hash_order(*key, seed=seed))
-    return rows.withColumn("nth", F.row_number().over(w)).join(F.broadcast(least)).where("nth <= least").drop("nth", "least")
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}  # a row a class
+    least = min(sizes.values(), default=0)
+    parts = [_numbered(rows.where(F.col(label).eqNullSafe(y)), *key, seed=seed).where(F.col("nth") <= least).drop("nth") for y in sorted(sizes, key=str)]
+    return reduce(DataFrame.unionByName, parts) if parts else rows
