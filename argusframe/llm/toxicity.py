@@ -155,6 +155,21 @@ def marginals(emission: np.ndarray, first: np.ndarray, start: np.ndarray, step:
     return forward_backward(emission, first, start, step)[0]
 
 
+def _expected(emission: np.ndarray, first: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1, and the expected number of each step, in bounded space: some documents at a time."""
+    one, pairs = np.empty(len(emission)), np.zeros((2, 2))
+    starts = np.append(np.flatnonzero(first), len(emission))
+    at = 0
+    while at < len(emission):
+        k = np.searchsorted(starts, at + CHUNK // 4, side="right") - 1
+        end = int(starts[k]) if starts[k] > at else int(starts[np.searchsorted(starts, at, side="right")])
+        o, p = forward_backward(emission[at:end], first[at:end], start, step)
+        one[at:end] = o
+        pairs += p[~first[at:end]].sum(0)
+        at = end
+    return one, pairs
+
+
 def fit_field(
     texts: list[list[str]], labels: list[int], steps: int = 60, rate: float = 0.3, penalty: float = 1e-5
 ) -> Field:
@@ -198,21 +213,21 @@ def fit_field(
         for t in range(1, steps + 1):
             w, bias, start, step = theta[:k], theta[k], theta[k + 1 : k + 3], theta[k + 3 :].reshape(2, 2)
             words = np.bincount(owner, weights=w[member], minlength=len(vocab)) + bias
-            one, pair = forward_backward(words[ids], first, start, step)
+            one, pair = _expected(words[ids], first, start, step)
             miss = np.bincount(ids, weights=one, minlength=len(vocab)) - seen
             g = np.concatenate(
                 [
                     np.bincount(member, weights=miss[owner], minlength=k) + penalty * n * w * 0.01,
                     [miss.sum()],
                     np.bincount(np.zeros(len(starts), int), minlength=1) * 0 + np.array([(1 - one[starts]).sum() - start_seen[0], one[starts].sum() - start_seen[1]]),
-                    (pair[1:][inside].sum(0) - step_seen).ravel(),
+                    (pair - step_seen).ravel(),
                 ]
             ) / n
             mom, var = 0.9 * mom + 0.1 * g, 0.99 * var + 0.01 * g * g
             theta = theta - rate * min(1, 3 * (1 - t / (steps + 1))) * (mom / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-8)
         w, bias, start, step = theta[:k], theta[k], theta[k + 1 : k + 3], theta[k + 3 :].reshape(2, 2)
         words = np.bincount(owner, weights=w[member], minlength=len(vocab)) + bias
-        one = marginals(words[ids], first, start, step)
+        one = _expected(words[ids], first, start, step)[0]
     else:
         one = np.zeros(len(ids))
     x = document_features(one, lengths)
