@@ -7,7 +7,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, connected_components, stored
@@ -173,20 +173,89 @@ def shingle_similarity(a: str | None, b: str | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+COMMON, MOST_COMMON = 8, 1 << 18  # prefixes that hold a common shingle; shingles whose count is told to all tasks
+
+
+def shingle_prefixes(
+    rows: DataFrame, similarity: float, words: int, common: tuple[np.ndarray, np.ndarray] | None = None
+) -> DataFrame:
+    """``rows(id, text)`` -> ``(h, id, size)``, the first shingles of each row's set in one order for all rows.
+
+    Of a set of n, as many are given that two sets with a Jaccard similarity of ``similarity`` or more have
+    one of them in common, whatever the order: n less ceil(similarity * n), and one. The order is by hash,
+    but for ``common`` (sorted hashes, counts): those come last, by count.
+    """
+    kind, spark = rows.schema["id"].dataType.simpleString(), rows.sparkSession
+    told = spark.sparkContext.broadcast(common) if common and len(common[0]) else None
+
+    def run(batches):
+        hashes, counts = told.value if told else (None, None)
+        for b in batches:
+            firsts, sizes = [], []
+            for t in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t, words).astype("<u8").view("<i8"))
+                n = len(h)
+                if told and n:
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
+                firsts.append(h[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else h)
+                sizes.append(n)
+            long = [len(f) for f in firsts]
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(firsts)), long)))
+            flat = np.concatenate(firsts) if firsts else np.zeros(0, dtype="<i8")
+            for i in range(0, len(flat), 1 << 16):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[i : i + (1 << 16)]), ids[i : i + (1 << 16)], pa.array(np.repeat(sizes, long)[i : i + (1 << 16)], pa.int64())],
+                    ["h", "id", "size"],
+                )
+
+    return rows.select("id", "text").mapInArrow(run, f"h long, id {kind}, size long")
+
+
+def common_shingles(rows: DataFrame, similarity: float, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles in most prefixes by hash alone, sorted, and in how many of an eighth of the rows.
+
+    They only set the order, which decides how much is compared, never what is found.
+    """
+    some = rows.where("pmod(xxhash64(id), 8) = 0")
+    counts = shingle_prefixes(some, similarity, words).groupBy("h").count().where(F.col("count") > COMMON)
+    found = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
+    h, n = found.column(0).to_numpy(), found.column(1).to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def unsettled_pairs(rows: DataFrame, known: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ids that may be alike and have different components in ``known(id, component)``.
+
+    Every pair of ``rows(id, text)`` at ``similarity`` or more is among them or has one component already: both
+    have a shingle of their prefixes in common. Shingles of one component only are dropped before pairing.
+    """
+    first = shingle_prefixes(rows, similarity, words, common_shingles(rows, similarity, words))
+    same = Window.partitionBy("h")
+    first = stored(first.withColumn("n", F.count("*").over(same)).where("n > 1").drop("n"), "shingle-prefixes")
+    first = stored(first.join(known, "id").select("h", "id", "size", "component"), "shingle-known")
+    mixed = first.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("h")
+    first = stored(first.join(mixed, "h"), "shingle-mixed")
+    x, y = first.alias("x"), first.alias("y")
+    near = f"x.size >= {similarity} * y.size - 1e-6 and y.size >= {similarity} * x.size - 1e-6"
+    met = x.join(y, F.expr(f"x.h = y.h and x.component < y.component and {near}"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicate_groups(
     docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text",
     shingle: int = 3, hot: int = 64,
 ) -> DataFrame:
     """One row a row of ``docs``: ``<id_col>, component_id``, the smallest id reachable over links.
 
-    Documents link if their fingerprints differ in two bits or fewer; all of these links are found. They also
-    link if they are held against each other and the sets of their ``words``-word shingles have a Jaccard
-    similarity of ``similarity`` or more: each document is held against the least one in its bucket of each
-    of 32 tables, which are indexed by bits of a wide fingerprint of 256 bits, four more than the number of
-    fingerprints has. So a document has 32 such partners at most, however large its group, and few by
-    chance, however many documents there are. Of 200,000 documents, a pair at 0.8 shares a bucket in about
-    9 of 10 cases, one at 0.9 almost always. Null text counts as empty, a null id links with nothing and has a null
-    component; equal wide fingerprints link.
+    Documents link if their fingerprints differ in two bits or fewer, or if the sets of their ``words``-word
+    shingles have a Jaccard similarity of ``similarity`` or more. All of these links count, however many documents
+    there are. A first round settles most of them cheaply: each document is held against the least one in its
+    bucket of each of 32 tables, which are indexed by bits of a wide fingerprint of 256 bits. Then all pairs
+    that may be alike by their shingles' prefixes and aren't connected yet are compared. So a large group of near
+    copies isn't paired, and what the first round misses only costs comparisons. Null text counts as empty, a
+    null id links with nothing and has a null component; equal wide fingerprints link.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -212,23 +281,30 @@ def near_duplicate_groups(
     )
     apart = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in bits)
 
-    leaders = table.groupBy("slot").agg(F.min("rep").alias("a"))
-    pairs = table.join(leaders, "slot").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    pairs = pairs.alias("p").join(nodes.alias("x"), F.expr("p.a = x.rep")).join(nodes.alias("y"), F.expr("p.b = y.rep"))
-    pairs = stored(pairs.where(f"{apart} <= {FARTHEST}").select("p.a", "p.b"), "wide-pairs")
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    texts = stored(base.join(needed, "id").groupBy("id").agg(F.min("text").alias("text")), "wide-texts")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-
     def judge(batches):
         for b in batches:
             alike = [shingle_similarity(x, y, words) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select([0, 1]).filter(pa.array(alike, pa.bool_()))
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
-    alike = both.mapInArrow(judge, "a long, b long")
-    comps = connected_components(equal.unionByName(close).unionByName(alike)).withColumnRenamed("node", "id")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of candidate pairs ``(a, b)``, those alike by their texts."""
+        needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+        texts = stored(base.join(needed, "id").distinct(), "wide-texts")
+        left = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
+        right = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
+        return both.mapInArrow(judge, "a long, b long")
+
+    leaders = table.groupBy("slot").agg(F.min("rep").alias("a"))
+    pairs = table.join(leaders, "slot").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    pairs = pairs.alias("p").join(nodes.alias("x"), F.expr("p.a = x.rep")).join(nodes.alias("y"), F.expr("p.b = y.rep"))
+    pairs = stored(pairs.where(f"{apart} <= {FARTHEST}").select("p.a", "p.b"), "wide-pairs")
+    edges = stored(equal.unionByName(close).unionByName(verified(pairs)), "wide-edges")
+    comps = connected_components(edges).withColumnRenamed("node", "id")
+    rows = base.where("id is not null")
+    known = rows.select("id").distinct().join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    rest = stored(unsettled_pairs(rows, stored(known, "wide-known"), similarity, words), "wide-rest")
+    comps = connected_components(edges.unionByName(verified(rest))).withColumnRenamed("node", "id")
     out = prints.select("id").distinct().join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("component_id"))
     return base.select("id").join(out.where("id is not null"), "id", "left").select(F.col("id").alias(id_col), "component_id")
 

@@ -245,3 +245,30 @@ def test_windows_are_compared_when_digests_collide(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(suffix_dedup, "STRIDE", 64)
     assert [f.tolist() for f in suffix_dedup.repeated_windows(segments, 20)] == want
+
+
+def similar_pairs(texts):
+    return [(i, j) for i in range(len(texts)) for j in range(i) if simhash.shingle_similarity(texts[i], texts[j]) >= 0.8]
+
+
+@pytest.mark.parametrize("common", [8, 0])
+def test_near_copies_group_whatever_else_is_in_their_buckets(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(30):  # families: a first text, and edited copies that are like each other but less like it
+        first = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(first)
+        for k in rng.sample(range(300), 22):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        again = list(copy)
+        for k in rng.sample(range(300), 6):
+            again[k] = f"y{rng.randrange(10**6)}"
+        texts += [" ".join(w) for w in (first, copy, again)]
+    texts += ["same few words here " * n + " ".join(texts[0].split()[:60]) for n in (1, 40)]  # equal sets, other weights
+    pairs = similar_pairs(texts)
+    assert sum(i % 3 == 2 and j == i - 1 for i, j in pairs) > 10 and (91, 90) in pairs
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, texts)).collect()}
+    fps = [simhash.fingerprint(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    assert [got[i] for i in range(len(texts))] == unite(len(texts), pairs + near)
