@@ -175,23 +175,27 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 COPY = 0.8  # a neighbour that shares more of a page's lines is taken for a copy of it, not for its template
 
 
-def shared_lines(lines: list[int], neighbour: list[int]) -> list[int]:
-    """Places of the lines that go, as the neighbour has them too; none where the two are copies."""
+def shared_lines(lines: list[int], neighbour: list[int], marked: bool = False) -> list[int]:
+    """Places of the lines that go, as the neighbour has them too; none where the two are copies.
+
+    Where the page has its article ``marked``, the lines are those around it, which may all be the template's.
+    """
     found = common_lines(lines, neighbour)
-    return [] if len(found) > COPY * len(lines) else found
+    return [] if len(found) > COPY * len(lines) and not marked else found
 
 
 def main_text(lines: list[tuple[str, bool]], shared: list[int]) -> str:
     """The article's text. ``shared`` counts the lines outside of ``article`` and ``main`` elements.
 
     Where the page marks its article so, its lines stay, shared or not: what articles have in common
-    (a licence, an opening line) is their own. Where it doesn't, the lines that the neighbour lacks stay.
+    (a licence, an opening line) is their own. Of the others, those that the neighbour lacks stay.
     """
-    inside = [t for t, main in lines if main]
-    if inside:
-        return "\n".join(inside)
-    gone = set(shared)
-    return "\n".join(t for i, t in enumerate(t for t, main in lines if not main) if i not in gone)
+    gone, outside, out = set(shared), 0, []
+    for text, main in lines:
+        if main or outside not in gone:
+            out.append(text)
+        outside += not main
+    return "\n".join(out)
 
 
 def extract_text(
@@ -218,13 +222,16 @@ def extract_text(
     def look(batches):
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            hashes = [
-                [digest(t) - (1 << 63) for t, main in page_lines(h) if not main] for h in b.column(4).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(hashes, pa.list_(pa.int64()))], ["id", "mark", "host", "path", "lines"])
+            found = [page_lines(h) for h in b.column(4).to_pylist()]
+            hashes = [[digest(t) - (1 << 63) for t, main in lines if not main] for lines in found]
+            marked = [any(main for _, main in lines) for lines in found]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in range(4)), pa.array(hashes, pa.list_(pa.int64())), pa.array(marked, pa.bool_())],
+                ["id", "mark", "host", "path", "lines", "marked"],
+            )
 
     slim = rows.select("id", "mark", "host", "path", "html").mapInArrow(
-        look, f"id {kind}, mark long, host string, path string, lines array<long>"
+        look, f"id {kind}, mark long, host string, path string, lines array<long>, marked boolean"
     )
     slim = stored(slim, "page-lines")
     # a page without lines outside its article has nothing to compare, but may be a neighbour
@@ -238,11 +245,11 @@ def extract_text(
     bounds = sorted((r["lo"], r["hi"]) for r in ends.collect())  # a row a partition
     leaps = spark.createDataFrame([(a[1], b[0]) for a, b in zip(bounds, bounds[1:])], "place long, leap long")
     after = ranked.join(F.broadcast(leaps), "place", "left").withColumn("next", F.coalesce("leap", F.col("place") + 1))
-    right = ranked.select(F.col("place").alias("next"), *[F.col(c).alias(f"{c}2") for c in ("id", "mark", "host", "path", "lines")])
-    pairs = after.select("place", "next", "id", "mark", "host", "path", "lines").join(right, "next").where("host = host2")
+    right = ranked.select(F.col("place").alias("next"), *[F.col(c).alias(f"{c}2") for c in ("id", "mark", "host", "path", "lines", "marked")])
+    pairs = after.select("place", "next", "id", "mark", "host", "path", "lines", "marked").join(right, "next").where("host = host2")
     sides = F.array(
-        F.struct(F.col("id"), F.col("mark"), F.col("path"), F.col("lines"), F.col("path2").alias("path2"), F.col("lines2").alias("lines2"), F.lit(0).alias("back")),
-        F.struct(F.col("id2").alias("id"), F.col("mark2").alias("mark"), F.col("path2").alias("path"), F.col("lines2").alias("lines"), F.col("path").alias("path2"), F.col("lines").alias("lines2"), F.lit(1).alias("back")),
+        F.struct(F.col("id"), F.col("mark"), F.col("path"), F.col("lines"), F.col("path2").alias("path2"), F.col("lines2").alias("lines2"), F.lit(0).alias("back"), F.col("marked")),
+        F.struct(F.col("id2").alias("id"), F.col("mark2").alias("mark"), F.col("path2").alias("path"), F.col("lines2").alias("lines"), F.col("path").alias("path2"), F.col("lines").alias("lines2"), F.lit(1).alias("back"), F.col("marked2").alias("marked")),
     )
     sides = pairs.select("place", F.explode(sides).alias("s")).select("place", "s.*")
 
@@ -257,7 +264,7 @@ def extract_text(
                         break
                     n += 1
                 alike.append(n)
-            gone = [shared_lines(x or [], y or []) for x, y in zip(lines, lines2)]
+            gone = [shared_lines(x or [], y or [], m) for x, y, m in zip(lines, lines2, b.column(8).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(alike, pa.int32()), b.column(7), pa.array(gone, pa.list_(pa.int32()))],
                 ["place", "id", "mark", "alike", "back", "gone"],

@@ -238,3 +238,16 @@ def test_template_lines_go(spark, parts):
     assert text[None] == "" and text[50] == "" and text[51].startswith("Menu of a")  # nothing to compare with
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract_text(df.limit(0)).collect() == []
+
+
+def test_lines_beside_an_article_stay_unless_shared(spark):
+    def page(i):
+        return f"<div>Site</div><div>Tools</div><div>story {i}</div><article>teaser</article><div>The end</div>"
+
+    def framed(i):
+        return f"<div>Site</div><div>Tools</div><article>teaser<p>story {i}</article><div>The end</div>"
+
+    rows = [(i, f"http://h.x/a/{i}", page(i)) for i in range(6)] + [(i, f"http://g.x/a/{i}", framed(i)) for i in range(6, 12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    text = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    assert text == {i: f"story {i}\nteaser" if i < 6 else f"teaser\nstory {i}" for i in range(12)}
