@@ -585,14 +585,14 @@ def track_kalman(spark, d):
 
 
 def _walk(spark, d) -> DataFrame:
-    """Sequences of sixty frames in which three walkers cross; a vector of ``embeddings`` is each one's look."""
-    e = table(spark, d, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("who"), vec.normalise(F.col("embedding")).alias("look"))
+    """A sequence of sixty frames for every three vectors, in which three walkers cross; a vector of ``embeddings`` is each one's look."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("who"), vec.normalise(F.col("embedding")).alias("look"))
     who = F.col("who")
     f = e.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(59))))
     # each walks on a lane of its own and is gone for frames 20 to 29
     x = F.when(who % 2 == 0, F.col("frame") * 4.0).otherwise(240 - F.col("frame") * 4.0)
     y = (who % 3) * 15.0
-    here = f.withColumns({"seq": F.format_string("s%02d", F.floor(who / 3)), "x1": x, "y1": y, "x2": x + 20, "y2": y + 40})
+    here = f.withColumns({"seq": F.format_string("s%08d", F.floor(who / 3)), "x1": x, "y1": y, "x2": x + 20, "y2": y + 40})
     shown = (F.col("frame") < 20) | (F.col("frame") >= 30) | (who % 3 != 0)
     return here.select(
         "seq", F.col("frame").cast("int").alias("frame"), F.lit(True).alias("detector_ran"), F.when(shown, (who % 3).cast("int")).alias("det_idx"), "x1", "y1", "x2", "y2",

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from argusframe.plans.oracle import ORACLE_SQL
-from argusframe.plans.queries import QUERIES
+from argusframe.plans.queries import QUERIES, _walk
 
 import __spark_entry__ as entry
 
@@ -42,3 +42,9 @@ def test_query_without_sql_gives_rows(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
+
+
+def test_every_vector_walks(spark, sf, duck):
+    want = {f"s{i:08d}" for (i,) in duck.sql("select distinct vec_id // 3 from embeddings").fetchall()}
+    got = {r.seq for r in _walk(spark, sf).select("seq").distinct().collect()}
+    assert len(want) > 20 and got == want
