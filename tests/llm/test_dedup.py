@@ -272,3 +272,13 @@ def test_near_copies_group_whatever_else_is_in_their_buckets(spark, monkeypatch,
     fps = [simhash.fingerprint(t) for t in texts]
     near = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
     assert [got[i] for i in range(len(texts))] == unite(len(texts), pairs + near)
+
+
+def test_near_copies_group_though_no_key_of_theirs_is_equal(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FARTHEST", -1)  # as if the keys, whose width grows with the corpus, found no pair
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    near = [w if i % 60 else "changed" for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(near), " ".join(words[::-1])]
+    assert similar_pairs(texts) == [(1, 0)]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, texts)).collect()} == {0: 0, 1: 0, 2: 2}
