@@ -210,6 +210,42 @@ def must_refit(now: int, fitted: int | None, least: int = 8, growth: float = 1.2
     return now >= least and (fitted is None or now >= growth * fitted)
 
 
+# Fixed values of the patch bank's policy: crops that it takes at most, the fewest it is fitted on, and how many more
+# make a new fit due.
+MOST_CROPS, LEAST_CROPS, MORE_CROPS = 40, 3, 8
+
+
+def patch_bank(patches: DataFrame, crops: DataFrame) -> DataFrame:
+    """``crop_id, gy, gx, vec`` of the crops that a bank takes: of ``crops(crop_id, identity_id)`` those of a bound object,
+    the first ``MOST_CROPS`` by id."""
+    bound = crops.where("identity_id is not null").select("crop_id").distinct().orderBy("crop_id").limit(MOST_CROPS)
+    return patches.join(F.broadcast(bound), "crop_id", "left_semi")
+
+
+def must_refit_bank(now: int, fitted: int | None) -> bool:
+    """Whether a label's patch bank is due: enough crops, and none yet or ``MORE_CROPS`` more than it has seen."""
+    return now >= LEAST_CROPS and (fitted is None or now >= fitted + MORE_CROPS)
+
+
+class ModelCache:
+    """A fitted model for each label, fitted anew only when ``must_refit`` says so.
+
+    It holds the models themselves (functions from rows to scores, on the driver), so as many as there are labels.
+    """
+
+    def __init__(self, method: str, due=must_refit, **settings):
+        self.method, self.due, self.settings = method, due, settings
+        self.models: dict[str, tuple[int, object]] = {}
+
+    def model(self, label: str, normal: DataFrame):
+        """The label's model, or None while there are too few examples."""
+        now = normal.count()
+        fitted = self.models[label][0] if label in self.models else None
+        if self.due(now, fitted):
+            self.models[label] = (now, build_detector(self.method, normal, **self.settings))
+        return self.models[label][1] if label in self.models else None
+
+
 def patch_distances(patches: DataFrame, bank: DataFrame, digits: int = 6, budget: int = 4096, least: int = 64) -> DataFrame:
     """``crop_id, gy, gx, distance``: 1 - the best cosine of each patch to the bank of normal patches.
 

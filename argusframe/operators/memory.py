@@ -162,3 +162,47 @@ def largest(rows: DataFrame, key: str, area: str, order: str) -> DataFrame:
     """The row of largest ``area`` of each key, the earliest by ``order`` on ties."""
     best = F.max_by(F.struct(*[F.col(c) for c in rows.columns if c != key]), F.struct(F.col(area), -F.col(order)))
     return rows.groupBy(key).agg(best.alias("r")).select(key, "r.*")
+
+
+def identity_counts(identities: DataFrame, exemplars: DataFrame) -> DataFrame:
+    """One row: ``identities``, ``exemplars``, and ``widest``, the most exemplars that one identity has."""
+    per = exemplars.groupBy("identity_id").agg(F.count("*").alias("n"))
+    return identities.agg(F.count("*").alias("identities")).join(
+        per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("exemplars"), F.coalesce(F.max("n"), F.lit(0)).alias("widest"))
+    )
+
+
+def describable(boxes: DataFrame, described: DataFrame, least_width: float = 16.0, least_height: float = 32.0) -> DataFrame:
+    """``identity_id`` and its first box that can be described: of ``boxes(identity_id, frame, x1, y1, x2, y2,
+    time_since_update)`` those in sight and large enough, of identities not in ``described`` yet. Each identity once."""
+    good = boxes.where(
+        (F.col("time_since_update") == 0) & (F.col("x2") - F.col("x1") >= least_width) & (F.col("y2") - F.col("y1") >= least_height)
+    ).join(described.select("identity_id"), "identity_id", "left_anti")
+    first = F.min_by(F.struct("frame", "x1", "y1", "x2", "y2"), F.struct("frame", "x1", "y1"))
+    return good.groupBy("identity_id").agg(first.alias("b")).select("identity_id", "b.*")
+
+
+def running_means(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """``key, n, vec``: the running mean of each key's vectors in their order, half the past and half the present, of unit
+    norm after each. Rows come sorted, in batches; only the mean goes from one to the next."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        now, n, mean = None, 0, None
+        for pdf in batches:
+            out = []
+            for k, v in zip(pdf[key].tolist(), pdf["vec"]):
+                v = np.asarray(v, dtype=np.float64)
+                if n == 0 or k != now:
+                    if n:
+                        out.append((now, n, mean))
+                    now, n, mean = k, 0, None
+                mean = v if mean is None else (mean + v) / 2
+                size = np.sqrt(mean @ mean)
+                mean, n = mean / size if size else mean, n + 1
+            yield pd.DataFrame(out, columns=[key, "n", "vec"])
+        if n:
+            yield pd.DataFrame([(now, n, mean)], columns=[key, "n", "vec"])
+
+    slim = rows.where("vec is not null").select(key, "vec", *[c for c in order if c not in (key, "vec")])
+    return slim.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{key} {kind}, n long, vec array<double>")

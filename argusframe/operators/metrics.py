@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vec import dot
+from .memory import select_diverse
 from .running import running
-from .search import QUERY_BOUND
+from .search import QUERY_BOUND, meet_blocks
 
 
 def by_score(scored: DataFrame) -> DataFrame:
@@ -86,40 +86,52 @@ def _bounded(rows: DataFrame) -> pd.DataFrame | None:
     return head if 0 < len(head) <= QUERY_BOUND else None
 
 
-def _scores_against(observations: DataFrame, bank: pd.DataFrame, digits: int) -> DataFrame:
-    """``track, identity_id, item_id, best``: each observation's best cosine to each identity of ``bank``."""
-    bank = bank.sort_values("identity_id", kind="stable")
-    ids, first = np.unique(bank["identity_id"].to_numpy(), return_index=True)
-    sent = observations.sparkSession.sparkContext.broadcast((ids, first, np.array(bank["vec"].tolist(), dtype=np.float64)))
+def best_matches(observations: DataFrame, exemplars: DataFrame, digits: int, on: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+    """``track, item_id, identity_id, best``: each observation's best cosine to each identity.
 
-    def run(batches):
-        ids, first, e = sent.value
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                best = np.maximum.reduceat(np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ e.T, digits), first, axis=1)
-                yield pd.DataFrame({
-                    "track": np.repeat(part["track"].to_numpy(), len(ids)), "identity_id": np.tile(ids, len(part)),
-                    "item_id": np.repeat(part["item_id"].to_numpy(), len(ids)), "best": best.ravel(),
-                })
-
-    rows = observations.where("vec is not null").select("track", "item_id", "vec")
-    return rows.mapInPandas(run, "track long, identity_id long, item_id long, best double")
+    Where both sides have lifetimes ``t0, t1``, only identities alive at the same time as the observation's track
+    (closed), or the track itself, are compared: observations go in the order of their time, some at once, against
+    the identities that their span meets.
+    """
+    alive = "t0" in observations.columns
+
+    def score(o: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        o, e = o.sort_values("t0" if alive else "item_id", kind="stable"), e.sort_values("identity_id", kind="stable")
+        matrix, owner = np.array(e["vec"].tolist(), dtype=np.float64), e["identity_id"].to_numpy()
+        out = []
+        for at in range(0, len(o), 256):
+            part = o.iloc[at : at + 256]
+            track, cols = part["track"].to_numpy(), np.arange(len(owner))
+            if alive:
+                a0, a1, b0, b1 = (c.to_numpy() for c in (part["t0"], part["t1"], e["t0"], e["t1"]))
+                cols = np.flatnonzero((b0 <= a1.max()) & (b1 >= a0.min()) | np.isin(owner, track))
+            if not len(cols):
+                continue
+            ids, first = np.unique(owner[cols], return_index=True)
+            best = np.maximum.reduceat(np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ matrix[cols].T, digits), first, axis=1)
+            keep = np.ones(best.shape, dtype=bool)
+            if alive:
+                c0, c1 = b0[cols][first], b1[cols][first]
+                keep = (a0[:, None] <= c1) & (c0 <= a1[:, None]) | (track[:, None] == ids)
+            r, c = np.nonzero(keep)
+            out.append(pd.DataFrame({"track": track[r], "item_id": part["item_id"].to_numpy()[r], "identity_id": ids[c], "best": best[r, c]}))
+        return pd.concat(out) if out else pd.DataFrame({"track": [], "item_id": [], "identity_id": [], "best": []})
+
+    life = ["t0", "t1"] if alive else []
+    left = observations.where("vec is not null").select("track", "item_id", "vec", *life, *on)
+    right = exemplars.where("vec is not null").select("identity_id", "vec", *life, *on)
+    found = meet_blocks(left, right, score, "track long, item_id long, identity_id long, best double", block, on, "item_id", "vec")
+    return found.groupBy("track", "item_id", "identity_id").agg(F.max("best").alias("best"))
 
 
 def identity_scores(observations: DataFrame, exemplars: DataFrame, on: str | None, quantile: float, digits: int = 6) -> DataFrame:
     """``track, identity_id, score``: of a track's observations' best cosines to an identity, a high quantile.
 
     The best exemplar counts, as exemplars are chosen to differ; over observations a quantile, as a single
-    frame proves little. ``on`` names a column that both must share (label, sequence). Without it, up to
-    ``QUERY_BOUND`` exemplars go to the observations' tasks as a matrix.
+    frame proves little. ``on`` names a column that both must share (label, sequence). Compared in blocks
+    (see ``search.meet_blocks``); lifetimes ``t0, t1`` on both sides leave out who never met, but for a track's own.
     """
-    if on is None and (bank := _bounded(exemplars.select("identity_id", "vec"))) is not None:
-        return _scores_against(observations, bank, digits).groupBy("track", "identity_id").agg(F.percentile("best", F.lit(quantile)).alias("score"))
-    e = exemplars.select("identity_id", F.col("vec").alias("e"), *([on] if on else []))
-    o = observations.select("track", "item_id", "vec", *([on] if on else []))
-    pairs = o.join(e, on) if on else o.crossJoin(e)
-    best = pairs.groupBy("track", "identity_id", "item_id").agg(F.max(F.round(dot(F.col("vec"), F.col("e")), digits)).alias("best"))
+    best = best_matches(observations, exemplars, digits, (on,) if on else ())
     return best.groupBy("track", "identity_id").agg(F.percentile("best", F.lit(quantile)).alias("score"))
 
 
@@ -136,14 +148,12 @@ def calibration_scores(observations: DataFrame, quantile: float) -> DataFrame:
     """``track, identity_id, y, score``: late halves against early ones; the own one is the positive, those of
     other tracks alive at the same time are negatives, but for scores of exactly 0 (slices that can't meet)."""
     cut = halves(observations)
-    early = cut.where(~F.col("late")).select(F.col("track").alias("identity_id"), "vec")
-    late = cut.where("late").select("track", "item_id", "vec")
-    life = cut.groupBy("track").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
-    scored = identity_scores(late, early, None, quantile)
-    a = life.select("track", F.col("first").alias("a0"), F.col("last").alias("a1"))
-    b = life.select(F.col("track").alias("identity_id"), F.col("first").alias("b0"), F.col("last").alias("b1"))
-    out = scored.join(a, "track").join(b, "identity_id").withColumn("y", (F.col("track") == F.col("identity_id")).cast("int"))
-    return out.where("y = 1 or (a0 <= b1 and b0 <= a1 and score != 0)").select("track", "identity_id", "y", "score")
+    life = cut.groupBy("track").agg(F.min("frame").alias("t0"), F.max("frame").alias("t1"))
+    cut = cut.join(life, "track")
+    early = cut.where(~F.col("late")).select(F.col("track").alias("identity_id"), "vec", "t0", "t1")
+    late = cut.where("late").select("track", "item_id", "vec", "t0", "t1")
+    out = identity_scores(late, early, None, quantile).withColumn("y", (F.col("track") == F.col("identity_id")).cast("int"))
+    return out.where("y = 1 or score != 0").select("track", "identity_id", "y", "score")
 
 
 def real_returns(observations: DataFrame, least: int = 2) -> DataFrame:
@@ -156,23 +166,40 @@ def real_returns(observations: DataFrame, least: int = 2) -> DataFrame:
     ).where("tracks >= 2").drop("tracks")
 
 
-def ranked_gallery(observations: DataFrame, digits: int = 6) -> DataFrame:
-    """``query, item, hit, rank``: the gallery of each usable query by cosine, without its own track.
+def _counted_ranks(observations: DataFrame, digits: int, block: int = 4096) -> DataFrame:
+    """``query, rank`` of the hits in each usable query's gallery, of any size.
 
-    A query is usable if its person is on another track as well. Observations of one evaluation are few; the
-    pairs are what the protocol ranks.
+    Hits come from blocks of one person's observations; then blocks of queries, with their hits, and of the
+    gallery count what ranks before each hit. Only hits ever are rows.
     """
-    o = observations.select("item_id", "person", "track", "vec")
-    usable = o.join(
-        o.select("person", F.col("track").alias("t2")).distinct().groupBy("person").agg(F.count("*").alias("tracks")).where("tracks > 1"),
-        "person", "left_semi",
-    )
-    pairs = usable.alias("q").join(o.alias("g"), F.col("q.track") != F.col("g.track")).select(
-        F.col("q.item_id").alias("query"), F.col("g.item_id").alias("item"), (F.col("q.person") == F.col("g.person")).cast("int").alias("hit"),
-        F.round(dot(F.col("q.vec"), F.col("g.vec")), digits).alias("score"),
-    )
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    return pairs.withColumn("rank", F.row_number().over(w))
+    o = observations.where("vec is not null")
+    matrix = lambda s: np.array(s.tolist(), dtype=np.float64)
+
+    def hits_of(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        s = np.round(matrix(q["vec"]) @ matrix(g["vec"]).T, digits)
+        r, c = np.nonzero(q["track"].to_numpy()[:, None] != g["track"].to_numpy()[None, :])
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[r], "item": g["item_id"].to_numpy()[c], "score": s[r, c]})
+
+    side = o.select("person", "track", F.col("item_id").alias("query_id"), "vec")
+    hits = meet_blocks(o.select("person", "track", "item_id", "vec"), side, hits_of, "query_id long, item long, score double", block, ("person",))
+    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "item"))).alias("hits"))
+    sought = side.join(lists, "query_id").select("query_id", "track", "vec", F.col("hits.s").alias("s"), F.col("hits.item").alias("item"))
+
+    def before(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("item_id", kind="stable")
+        e, gid, track, out = matrix(g["vec"]), g["item_id"].to_numpy(), g["track"].to_numpy(), []
+        for row in q.itertuples(index=False):
+            score = -np.round(np.asarray(row.vec, dtype=np.float64) @ e.T, digits)
+            score, ids = score[track != row.track], gid[track != row.track]
+            order = np.argsort(score, kind="stable")
+            score, ids = score[order], ids[order]
+            lo, hi = np.searchsorted(score, row.s, "left"), np.searchsorted(score, row.s, "right")
+            n = lo + [int((ids[a:z] < i).sum()) for a, z, i in zip(lo, hi, row.item)]
+            out.append(pd.DataFrame({"query": row.query_id, "item": row.item, "n": n}))
+        return pd.concat(out)
+
+    found = meet_blocks(o.select("item_id", "track", "vec"), sought, before, "query long, item long, n long", block)
+    return found.groupBy("query", "item").agg((F.sum("n") + 1).alias("rank")).select("query", "rank")
 
 
 def _hit_ranks(queries: DataFrame, bank: pd.DataFrame, digits: int) -> DataFrame:
@@ -198,12 +225,13 @@ def _hit_ranks(queries: DataFrame, bank: pd.DataFrame, digits: int) -> DataFrame
 def retrieval(observations: DataFrame, digits: int = 6) -> DataFrame:
     """One row: ``queries, rank1, rank5, rank10, map``.
 
-    A gallery of up to ``QUERY_BOUND`` observations goes to the queries' tasks as a matrix; each gives the
-    ranks of its hits.
+    A query is usable if its person is on another track as well; its own track is no part of its gallery. A
+    gallery of up to ``QUERY_BOUND`` observations goes to the queries' tasks as a matrix; each gives the ranks of its
+    hits. Beyond, these are counted in blocks.
     """
     o = observations.select("item_id", "person", "track", "vec")
     bank = _bounded(o)
-    r = ranked_gallery(observations, digits).where("hit = 1") if bank is None else _hit_ranks(o, bank, digits)
+    r = _counted_ranks(o, digits) if bank is None else _hit_ranks(o, bank, digits)
     r = r.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
     per = r.groupBy("query").agg(F.min("rank").alias("first"), F.avg(F.col("nth") / F.col("rank")).alias("ap"))
     within = lambda k: F.avg((F.col("first") <= k).cast("double"))
@@ -216,3 +244,44 @@ def trapezoid_auroc(scored: DataFrame) -> DataFrame:
     """AUROC as the area under the curve over single rows: ties aren't averaged; rows tie by ``key``."""
     rows = running(scored, "score", {"tp": "y"}, "key", descending=True)
     return rows.agg((F.sum(F.when(F.col("y") == 0, F.col("tp"))) / F.sum("y") / F.sum(1 - F.col("y"))).alias("auroc"))
+
+
+def pair_similarity(observations: DataFrame, digits: int = 6, block: int = 4096) -> DataFrame:
+    """``person, mean, median, pairs`` of the cosines of all pairs of one person's observations.
+
+    Blocks of pairs are counted by rounded cosine, at most 2 * 10 ** ``digits`` + 1 different values, and only the counts go on.
+    """
+    o = observations.where("vec is not null").select("person", "item_id", "vec")
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        matrix = lambda s: np.array(s.tolist(), dtype=np.float64)
+        later = a["item_id"].to_numpy()[:, None] < b["query_id"].to_numpy()[None, :]
+        values, n = np.unique(np.round(matrix(a["vec"]) @ matrix(b["vec"]).T, digits)[later], return_counts=True)
+        return pd.DataFrame({"person": a["person"].iloc[0], "s": values + 0.0, "n": n})
+
+    kind = o.schema["person"].dataType.simpleString()
+    found = meet_blocks(o, o.withColumnRenamed("item_id", "query_id"), count, f"person {kind}, s double, n long", block, ("person",))
+    g = found.groupBy("person", "s").agg(F.sum("n").alias("n"))
+    return g.groupBy("person").agg(
+        (F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("s", F.lit(0.5), F.col("n")).alias("median"), F.sum("n").alias("pairs")
+    )
+
+
+def class_means(scored: DataFrame, by: str = "y") -> DataFrame:
+    """``by, mean, n``: the mean score of each class."""
+    return scored.groupBy(by).agg(F.avg("score").alias("mean"), F.count("score").alias("n"))
+
+
+def returned_scores(observations: DataFrame, quantile: float, keep: int = 5, least: int = 2, on: str | None = None, digits: int = 6) -> DataFrame:
+    """``person, identity_id, y, score``: real returns. Each person's first track is stored, its ``keep`` most spread
+    observations as exemplars; the last track of each is the query. The own identity is the positive, those of
+    others are negatives, of the same ``on`` (sequence) if that is given.
+    """
+    ends = real_returns(observations, least)
+    extra = [on] if on else []
+    pick = lambda c: observations.join(ends.select("person", F.col(c).alias("track")), ["person", "track"]).select("person", "item_id", "vec", *extra)
+    first = pick("first_track").withColumnRenamed("person", "identity_id")
+    chosen = select_diverse(first.select("item_id", "identity_id", "vec"), keep).select("identity_id", "item_id")
+    stored = first.join(chosen, ["identity_id", "item_id"]).drop("item_id")
+    scores = identity_scores(pick("last_track").withColumnRenamed("person", "track"), stored, on, quantile, digits)
+    return scores.select(F.col("track").alias("person"), "identity_id", (F.col("track") == F.col("identity_id")).cast("int").alias("y"), "score")

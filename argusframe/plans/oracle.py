@@ -59,16 +59,16 @@ ORACLE_SQL: dict[str, str] = {
             FROM obs a JOIN obs b ON a.item_id != b.item_id)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, item_id, score FROM s QUALIFY rank <= 5""",
     "identity_topk": f"""WITH {_OBS}, s AS (SELECT a.item_id AS query_id, b.person AS identity_id, max(round(list_dot_product(a.vec, b.vec), 6)) AS score
-            FROM obs a JOIN obs b ON a.item_id != b.item_id WHERE a.item_id % 10 = 0 GROUP BY ALL)
+            FROM obs a JOIN obs b ON a.item_id != b.item_id GROUP BY ALL)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, identity_id) AS rank, identity_id, score FROM s QUALIFY rank <= 3""",
     "similar_then_label": f"""WITH {_OBS}, s AS (SELECT a.item_id AS query_id, b.person AS identity_id, max(round(list_dot_product(a.vec, b.vec), 6)) AS score
-            FROM obs a JOIN obs b ON a.item_id != b.item_id WHERE a.item_id % 10 = 0 GROUP BY ALL),
+            FROM obs a JOIN obs b ON a.item_id != b.item_id GROUP BY ALL),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, identity_id) AS rank, identity_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5 AND identity_id % 2 = 0""",
     "semantic_find_floor": f"""WITH {_OBS},
         part AS (SELECT person, u.pos, avg(u.x) AS x FROM obs, (SELECT unnest(vec) AS x, unnest(range(1, 65)) AS pos) u GROUP BY ALL),
         idx AS (SELECT person AS identity_id, [x / sqrt(sum(y * y)) FOR x IN list(x ORDER BY pos)] AS v FROM (SELECT *, x AS y FROM part) GROUP BY person),
-        s AS (SELECT item_id AS query_id, identity_id, round(list_dot_product(vec, v), 6) AS score FROM obs, idx WHERE item_id % 10 = 0),
+        s AS (SELECT item_id AS query_id, identity_id, round(list_dot_product(vec, v), 6) AS score FROM obs, idx),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, identity_id) AS rank, identity_id, score FROM s)
         SELECT * FROM r WHERE rank <= 4 AND score >= 0.02""",
     "identity_prototype": f"""WITH {_OBS},
@@ -110,11 +110,11 @@ ORACLE_SQL: dict[str, str] = {
         ON x.item_id // 50 = y.item_id // 50 AND x.person = y.person AND y.frame - x.frame >= 20""",
     "coalive_tracks": f"""WITH {_BLOCKS}, sp AS (SELECT track, min(frame) AS f, max(frame) AS l FROM blk GROUP BY track)
         SELECT a.track AS track_a, b.track AS track_b FROM sp a JOIN sp b ON a.track < b.track AND a.f <= b.l AND b.f <= a.l""",
-    "negative_pairs": f"""WITH {_BLOCKS}, sp AS (SELECT track, min(frame) AS f, max(frame) AS l FROM blk WHERE person < 5 GROUP BY track)
+    "negative_pairs": f"""WITH {_BLOCKS}, sp AS (SELECT track, min(frame) AS f, max(frame) AS l FROM blk GROUP BY track)
         SELECT a.track AS track_a, b.track AS track_b, x.item_id AS a, y.item_id AS b FROM sp a JOIN sp b ON a.track < b.track AND a.f <= b.l AND b.f <= a.l
         JOIN blk x ON x.track = a.track JOIN blk y ON y.track = b.track""",
     "hard_negatives": f"""WITH {_BLOCKS}, s AS (SELECT x.item_id AS a, y.item_id AS b, round(list_dot_product(x.vec, y.vec), 6) AS score
-            FROM blk x JOIN blk y ON x.item_id // 50 = y.item_id // 50 AND x.person != y.person WHERE x.item_id % 10 = 0)
+            FROM blk x JOIN blk y ON x.item_id // 50 = y.item_id // 50 AND x.person != y.person)
         SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s QUALIFY rank <= 3""",
     "pair_features": f"""WITH {_BLOCKS}, {_POS},
         l AS (SELECT a, b, u.x, u.y, abs(u.x - u.y) AS d, u.x * u.y AS p FROM pos, (SELECT unnest(va) AS x, unnest(vb) AS y) u)
@@ -155,7 +155,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n, floor(0.05 * n)::BIGINT AS allowed, score AS cut FROM r WHERE i = n - floor(0.05 * n)""",
     "real_returns": f"""WITH {_BLOCKS}, t AS (SELECT person, track, min(frame) AS s FROM blk GROUP BY ALL HAVING count(*) >= 2)
         SELECT person, arg_min(track, s) AS first_track, arg_max(track, s) AS last_track FROM t GROUP BY person HAVING count(*) >= 2""",
-    "retrieval_rank_map": f"""WITH {_OBS}, o AS (SELECT * FROM obs WHERE item_id % 4 < 3),
+    "retrieval_rank_map": f"""WITH {_OBS}, o AS (SELECT * FROM obs),
         r AS (SELECT q.item_id AS q, q.person = g.person AS hit, row_number() OVER (PARTITION BY q.item_id ORDER BY round(list_dot_product(q.vec, g.vec), 6) DESC, g.item_id) AS rank
             FROM o q JOIN o g ON q.track != g.track WHERE EXISTS (SELECT 1 FROM o z WHERE z.person = q.person AND z.track != q.track)),
         h AS (SELECT q, rank, row_number() OVER (PARTITION BY q ORDER BY rank) AS nth FROM r WHERE hit),
@@ -170,7 +170,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT frame, det_idx, count(*) AS deep FROM p WHERE iou > 0.2 GROUP BY ALL HAVING count(*) >= 2""",
     "gt_attribution": f"""WITH {_DET}, p AS (SELECT a.frame, a.det_idx, b.det_idx AS id, round({_IOU}, 9) AS r FROM det a JOIN det b ON a.frame = b.frame WHERE a.det_idx % 2 = 0 AND b.det_idx % 2 = 1)
         SELECT frame, det_idx, id, round(r, 6) AS iou FROM p WHERE r >= 0.3 QUALIFY row_number() OVER (PARTITION BY frame, det_idx ORDER BY r DESC, id) = 1""",
-    "nms_per_frame": f"""WITH RECURSIVE {_DET}, f AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det_idx) AS turn FROM det WHERE frame % 4 = 1),
+    "nms_per_frame": f"""WITH RECURSIVE {_DET}, f AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det_idx) AS turn FROM det),
         hit AS (SELECT a.frame, a.turn AS kept, b.turn AS gone FROM f a JOIN f b ON a.frame = b.frame AND a.class_id = b.class_id AND a.turn < b.turn WHERE {_IOU} > 0.3),
         step AS (
             SELECT frame, 0::BIGINT AS turn, []::BIGINT[] AS kept FROM (SELECT DISTINCT frame FROM f)
@@ -214,9 +214,76 @@ ORACLE_SQL: dict[str, str] = {
     "fused_vectors": f"""WITH {_OBS}, f AS (SELECT item_id, vec[1:32] AS d, vec[33:64] AS c FROM obs)
         SELECT a.item_id, round(0.7 * list_cosine_similarity(a.d, b.d) + 0.3 * list_cosine_similarity(a.c, b.c), 6) AS score FROM f a, f b WHERE b.item_id = 0""",
     "multi_view_cosine": f"""WITH {_OBS}, v AS (SELECT track, vec FROM obs QUALIFY row_number() OVER (PARTITION BY track ORDER BY frame DESC) <= 3)
-        SELECT o.item_id, v.track, max(round(list_dot_product(o.vec, v.vec), 6)) AS best FROM obs o, v WHERE o.item_id % 20 = 0 GROUP BY ALL""",
-    "running_embedding": f"""WITH {_EV}, l AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM ev)
-        SELECT user_id, round(sum(value * CASE WHEN i = 1 THEN pow(0.5, n - 1) ELSE pow(0.5, n - i + 1) END), 6) AS mean FROM l GROUP BY user_id""",
+        SELECT o.item_id, v.track, max(round(list_dot_product(o.vec, v.vec), 6)) AS best FROM obs o, v GROUP BY ALL""",
+    "running_embedding": f"""WITH RECURSIVE {_OBS}, p AS (SELECT track, vec, row_number() OVER (PARTITION BY track ORDER BY frame, item_id) AS i FROM obs),
+        r AS (SELECT track, i, vec AS m FROM p WHERE i = 1
+            UNION ALL SELECT track, i, [x / sqrt(list_dot_product(s, s)) FOR x IN s] FROM (
+                SELECT p.track, p.i, [(r.m[j] + p.vec[j]) / 2 FOR j IN range(1, 65)] AS s FROM r JOIN p ON p.track = r.track AND p.i = r.i + 1)),
+        l AS (SELECT track, arg_max(m, i) AS m FROM r GROUP BY track)
+        SELECT track, u.pos, round(m[u.pos], 6) AS v FROM l, (SELECT unnest(range(1, 65)) AS pos) u""",
+    "class_means": f"WITH {_TRUTH} SELECT y, round(avg(score), 6) AS mean, count(*) AS n FROM truth GROUP BY y",
+    "auroc_undefined": "SELECT NULL::DOUBLE AS auroc",
+    "mined_pairs": "SELECT y, true AS different, y::DOUBLE AS one_owner FROM (VALUES (0), (1)) v(y)",
+    "identity_counts": f"""WITH {_OBS}, c AS (SELECT person, count(*) AS n FROM obs GROUP BY person)
+        SELECT count(*) AS identities, sum(n)::BIGINT AS exemplars, max(n) AS widest FROM c""",
+    "still_known": f"""WITH {_OBS}, s AS (SELECT a.item_id AS query_id, b.person AS identity_id, max(round(list_dot_product(a.vec, b.vec), 6)) AS score
+            FROM obs a JOIN obs b ON a.item_id != b.item_id GROUP BY ALL),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, identity_id) AS rank, identity_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 4 AND identity_id % 3 != 0""",
+    "describable": f"""WITH {_DET} SELECT frame % 5000 AS identity_id, min(frame) AS frame FROM det
+        WHERE det_idx % 2 = 0 AND x2 - x1 >= 10 AND y2 + det_idx * 8 - y1 >= 32 AND frame % 5000 >= 100 GROUP BY 1""",
+    "session_tracks": f"""WITH {_EV}, g AS (SELECT user_id, us, CASE WHEN us - lag(us) OVER w < 43200000000 THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+        i AS (SELECT user_id, us, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM g)
+        SELECT user_id, min(us) AS first, max(us) + 43200000000 AS ends, count(*) AS hits FROM i GROUP BY user_id, island""",
+    "return_scores": f"""WITH RECURSIVE {_BLOCKS}, t AS (SELECT person, track, min(frame) AS s FROM blk GROUP BY ALL HAVING count(*) >= 2),
+        e AS (SELECT person, arg_min(track, s) AS f, arg_max(track, s) AS l FROM t GROUP BY person HAVING count(*) >= 2),
+        st AS (SELECT b.person, item_id, vec FROM blk b JOIN e ON e.person = b.person AND e.f = b.track),
+        mean AS (SELECT person, list(m ORDER BY pos) AS m FROM (SELECT person, u.pos, avg(u.x) AS m FROM st, (SELECT unnest(vec) AS x, unnest(range(1, 65)) AS pos) u GROUP BY ALL) GROUP BY person),
+        pick AS (
+            SELECT person, 1 AS place, [item_id] AS chosen FROM (SELECT person, item_id FROM st JOIN mean USING (person)
+                QUALIFY row_number() OVER (PARTITION BY person ORDER BY round(list_dot_product(vec, m), 9) DESC, item_id) = 1)
+            UNION ALL
+            SELECT person, place, chosen FROM (SELECT p.person, p.place + 1 AS place, list_append(p.chosen, o.item_id) AS chosen,
+                    row_number() OVER (PARTITION BY p.person ORDER BY
+                        (SELECT max(round(list_dot_product(o.vec, c.vec), 9)) FROM st c WHERE c.person = p.person AND list_contains(p.chosen, c.item_id)), o.item_id) AS r
+                FROM pick p JOIN st o ON o.person = p.person AND NOT list_contains(p.chosen, o.item_id) WHERE p.place < 5) WHERE r = 1),
+        kept AS (SELECT st.* FROM st JOIN (SELECT person, arg_max(chosen, place) AS chosen FROM pick GROUP BY person) c ON c.person = st.person AND list_contains(c.chosen, st.item_id)),
+        q AS (SELECT b.person, b.item_id, b.vec FROM blk b JOIN e ON e.person = b.person AND e.l = b.track),
+        best AS (SELECT q.person, k.person AS identity_id, q.item_id, max(round(list_dot_product(q.vec, k.vec), 6)) AS best FROM q, kept k GROUP BY ALL)
+        SELECT person, identity_id, (person = identity_id)::INT AS y, round(quantile_cont(best, 0.75), 8) AS score FROM best GROUP BY ALL""",
+    "track_kalman": f"""WITH RECURSIVE {_EV}, z AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS "at",
+            (x1 + x2) / 2 AS zx, (y1 + y2) / 2 AS zy, x2 - x1 AS zw, y2 - y1 AS zh FROM ev),
+        k AS (SELECT user_id, "at", zx AS cx, zy AS cy, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, zw AS w, zh AS h, 10.0::DOUBLE AS a, 0.0::DOUBLE AS b, 10.0::DOUBLE AS c, 10.0::DOUBLE AS s FROM z WHERE "at" = 1
+            UNION ALL
+            SELECT user_id, "at", cx + g * (zx - cx), cy + g * (zy - cy), vx + q * (zx - cx), vy + q * (zy - cy), w + r * (zw - w), h + r * (zh - h), (1 - g) * a, (1 - g) * b, c - q * b, (1 - r) * s FROM (
+                SELECT *, a / (a + 1) AS g, b / (a + 1) AS q, s / (s + 10) AS r FROM (
+                    SELECT z.user_id, z."at", zx, zy, zw, zh, cx + vx AS cx, cy + vy AS cy, vx, vy, greatest(w, 2) AS w, greatest(h, 2) AS h, a + 2 * b + c + 1 AS a, b + c AS b, c + 0.01 AS c, s + 1 AS s
+                    FROM k JOIN z ON z.user_id = k.user_id AND z."at" = k."at" + 1)))
+        SELECT user_id, "at", round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM k""",
+    "track_single": f"""WITH RECURSIVE {_EV}, z AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n,
+            (x1 + x2) / 2 AS zx, (y1 + y2) / 2 AS zy, x2 - x1 AS zw, y2 - y1 AS zh FROM ev),
+        k AS (SELECT user_id, n, 1::BIGINT AS id, zx AS cx, zy AS cy, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, zw AS w, zh AS h, 10.0::DOUBLE AS a, 0.0::DOUBLE AS b, 10.0::DOUBLE AS c, 10.0::DOUBLE AS s,
+                1::BIGINT AS hits, 0::BIGINT AS lost_hits, 0.0::DOUBLE AS lx, 0.0::DOUBLE AS ly, 0.0::DOUBLE AS lw, 0.0::DOUBLE AS lh FROM z WHERE n = 1
+            UNION ALL
+            SELECT user_id, n, CASE WHEN met THEN id ELSE id + 1 END, CASE WHEN met THEN cx + a / (a + 1) * (zx - cx) ELSE zx END, CASE WHEN met THEN cy + a / (a + 1) * (zy - cy) ELSE zy END,
+                CASE WHEN met THEN vx + b / (a + 1) * (zx - cx) ELSE 0 END, CASE WHEN met THEN vy + b / (a + 1) * (zy - cy) ELSE 0 END,
+                CASE WHEN met THEN w + s / (s + 10) * (zw - w) ELSE zw END, CASE WHEN met THEN h + s / (s + 10) * (zh - h) ELSE zh END,
+                CASE WHEN met THEN a / (a + 1) ELSE 10 END, CASE WHEN met THEN b / (a + 1) ELSE 0 END, CASE WHEN met THEN c - b * b / (a + 1) ELSE 10 END, CASE WHEN met THEN s * 10 / (s + 10) ELSE 10 END,
+                CASE WHEN met THEN hits + 1 ELSE 1 END, CASE WHEN met THEN 0 ELSE hits END, cx, cy, w, h FROM (
+                SELECT *, common / (w * h + zw * zh - common) >= 0.3 OR sqrt((zx - cx) * (zx - cx) + (zy - cy) * (zy - cy)) / ((greatest(w, 1) + greatest(zw, 1)) / 2) <= 2 AS met FROM (
+                    SELECT *, greatest(least(cx + w / 2, zx + zw / 2) - greatest(cx - w / 2, zx - zw / 2), 0) * greatest(least(cy + h / 2, zy + zh / 2) - greatest(cy - h / 2, zy - zh / 2), 0) AS common FROM (
+                        SELECT z.user_id, z.n, k.id, zx, zy, zw, zh, cx + vx AS cx, cy + vy AS cy, vx, vy, greatest(w, 2) AS w, greatest(h, 2) AS h, a + 2 * b + c + 1 AS a, b + c AS b, c + 0.01 AS c, s + 1 AS s, hits
+                        FROM k JOIN z ON z.user_id = k.user_id AND z.n = k.n + 1)))),
+        t AS (SELECT user_id, n, id, cx, cy, w, h, hits, 0::BIGINT AS quiet, 'active' AS state FROM k WHERE hits >= 2
+            UNION ALL SELECT user_id, n, id - 1, lx, ly, lw, lh, lost_hits, 1, 'lost' FROM k WHERE lost_hits >= 2)
+        SELECT user_id::VARCHAR AS seq, n::INT AS frame, id AS track_id, round(cx - w / 2, 6) AS x1, round(cy - h / 2, 6) AS y1, round(cx + w / 2, 6) AS x2, round(cy + h / 2, 6) AS y2,
+            hits, quiet AS time_since_update, state FROM t""",
+    "label_files": f"""WITH {_DET} SELECT 's' || frame % 4 AS seq, frame, det_idx AS id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(det_idx / 8, 6) AS visibility
+        FROM det WHERE det_idx % 5 != 0 AND class_id = 1""",
+    "sequence_files": """SELECT n_name AS seq, CASE WHEN n_nationkey % 3 = 0 THEN 30 ELSE 20 + n_regionkey END::DOUBLE AS fps, (n_nationkey + 1)::INT AS length, 640 AS width, 0 AS height FROM nation""",
+    "frame_cache": "SELECT DISTINCT 's' || l_orderkey % 3 AS seq, l_orderkey AS frame FROM lineitem WHERE l_orderkey % 4 > 1",
+    "store_round_trip": f"""WITH {_OBS} SELECT person AS identity_id, 'person' AS label, min(item_id)::DOUBLE AS first_seen, max(item_id)::DOUBLE AS last_seen, count(*) AS appearances, count(*) AS exemplars, 64::BIGINT AS width
+        FROM obs WHERE person != 3 GROUP BY person""",
     "projected_vectors": f"""WITH {_OBS}, z AS (SELECT item_id, list_sum([vec[i] FOR i IN range(1, 65, 2)]) AS a, list_sum([vec[i] FOR i IN range(2, 65, 2)]) AS b FROM obs)
         SELECT item_id, round(a / sqrt(a * a + b * b), 6) AS a, round(b / sqrt(a * a + b * b), 6) AS b FROM z""",
     "knn_anomaly": f"WITH {_OBS}, {_KNN} SELECT item_id, score FROM knn WHERE item_id % 2 = 1",
@@ -228,7 +295,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT item_id, round(sqrt((q * (vec[1] - ma) * (vec[1] - ma) - 2 * r * (vec[1] - ma) * (vec[2] - mb) + p * (vec[2] - mb) * (vec[2] - mb)) / (p * q - r * r)), 6) AS score
         FROM obs, s WHERE item_id % 2 = 1""",
     "patch_anomaly": """WITH p AS (SELECT vec_id AS crop_id, (u.pos // 8) AS gy, u.pos % 8 AS gx, u.x * 4.0::DOUBLE AS t FROM embeddings, (SELECT unnest(embedding) AS x, unnest(range(0, 64)) AS pos) u),
-        d AS (SELECT a.crop_id, a.gy, a.gx, round(1 - max(cos(a.t) * cos(b.t) + sin(a.t) * sin(b.t)), 9) AS d FROM p a, p b WHERE a.crop_id >= 2 AND b.crop_id < 2 GROUP BY ALL),
+        d AS (SELECT a.crop_id, a.gy, a.gx, round(1 - max(cos(a.t) * cos(b.t) + sin(a.t) * sin(b.t)), 9) AS d FROM p a, p b WHERE a.crop_id >= 40 AND b.crop_id < 40 GROUP BY ALL),
         m AS (SELECT c.crop_id, c.gy, c.gx, avg(n.d) AS m FROM d c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx), d n
             WHERE n.crop_id = c.crop_id AND n.gy = CASE WHEN dy = 0 THEN c.gy WHEN c.gy = 0 THEN 1 ELSE c.gy - 1 END AND n.gx = CASE WHEN dx = 0 THEN c.gx WHEN c.gx = 0 THEN 1 ELSE c.gx - 1 END GROUP BY ALL)
         SELECT crop_id, round(max(m), 6) AS score FROM m GROUP BY crop_id""",

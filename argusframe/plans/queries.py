@@ -13,6 +13,7 @@ from ..functions import vec
 from ..operators import anomaly, appearance, boxes, evaluate, memory, metrics, pairs, search, tracks
 from ..operators.binding import BinderConfig
 from ..operators.tracking import TrackerConfig
+from ..streaming.tracking import session_tracks as session
 from .standins import blocks, detections, observations, sightings, table, truth_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +42,7 @@ def knn_topk(spark, d):
 
 def _identity_queries(spark, d) -> tuple[DataFrame, DataFrame]:
     o = observations(spark, d)
-    q = o.where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "vec")
+    q = o.select(F.col("item_id").alias("query_id"), "vec")
     return q, o.select("item_id", F.col("person").alias("identity_id"), "vec")
 
 
@@ -63,7 +64,7 @@ def semantic_find_floor(spark, d):
     """Prototypes as the index of descriptions: top four by cosine, of which those of 0.02 or more."""
     o = observations(spark, d)
     index = memory.prototypes(o.select("item_id", F.col("person").alias("identity_id"), "vec")).select(F.col("identity_id").alias("item_id"), F.col("v").alias("vec"))
-    q = o.where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "vec")
+    q = o.select(F.col("item_id").alias("query_id"), "vec")
     found = search.at_least(search.top_k(q, index, 4), 0.02)
     return found.select("query_id", "rank", F.col("item_id").alias("identity_id"), "score")
 
@@ -162,6 +163,31 @@ def largest_crop(spark, d):
     return memory.largest(o, "o_custkey", "area", "o_orderkey")
 
 
+@query
+def identity_counts(spark, d):
+    """How many identities and exemplars there are, and the most that one has."""
+    e = _exemplars(spark, d)
+    return memory.identity_counts(e.select("identity_id").distinct(), e)
+
+
+@query
+def still_known(spark, d):
+    """Found ids of which some no longer exist: they go after the cut."""
+    q, e = _identity_queries(spark, d)
+    ids = e.select("identity_id").distinct().where("identity_id % 3 != 0")
+    return search.still_known(search.identity_top_k(q, e, 4), ids).select("query_id", "rank", "identity_id", "score")
+
+
+@query
+def describable(spark, d):
+    """The first box of each order's part that is large enough to be described, of those with none yet."""
+    b = detections(spark, d).select(
+        (F.col("frame") % 5000).alias("identity_id"), "frame", "x1", "y1", "x2", (F.col("y2") + F.col("det_idx") * 8).alias("y2"), (F.col("det_idx") % 2).alias("time_since_update")
+    )
+    done = spark.range(0, 100).select(F.col("id").alias("identity_id"))
+    return memory.describable(b, done, 10.0, 32.0).select("identity_id", "frame")
+
+
 # -- pairs -------------------------------------------------------------------------------------------------
 
 
@@ -185,14 +211,14 @@ def coalive_tracks(spark, d):
 @query
 def negative_pairs(spark, d):
     """Pairs of observations of such tracks."""
-    return pairs.negative_pairs(blocks(spark, d).where("person < 5"))
+    return pairs.negative_pairs(blocks(spark, d))
 
 
 @query
 def hard_negatives(spark, d):
     """The three most similar observations of others in the sequence."""
     o = blocks(spark, d).withColumn("sequence", F.floor(F.col("item_id") / 50))
-    a = o.where("item_id % 10 = 0").select("sequence", "person", F.col("item_id").alias("a"), "vec")
+    a = o.select("sequence", "person", F.col("item_id").alias("a"), "vec")
     return pairs.hard_negatives(a, o.select("sequence", "person", "item_id", "vec"), 3)
 
 
@@ -309,16 +335,39 @@ def real_returns(spark, d):
 
 @query
 def retrieval_rank_map(spark, d):
-    return _r(metrics.retrieval(observations(spark, d).where("item_id % 4 < 3")), "rank1", "rank5", "rank10", "map")
+    return _r(metrics.retrieval(observations(spark, d)), "rank1", "rank5", "rank10", "map")
 
 
 @query
 def mean_similarity(spark, d):
     """Mean and median cosine of all pairs of one person's observations."""
-    o = observations(spark, d).select("person", "item_id", "vec")
-    p = o.alias("x").join(o.alias("y"), (F.col("x.person") == F.col("y.person")) & (F.col("x.item_id") < F.col("y.item_id")))
-    s = p.select(F.col("x.person").alias("person"), F.round(vec.dot(F.col("x.vec"), F.col("y.vec")), 6).alias("s"))
-    return s.groupBy("person").agg(F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", F.lit(0.5)), 8).alias("median"), F.count("*").alias("pairs"))
+    return _r(_r(metrics.pair_similarity(observations(spark, d)), "mean"), "median", digits=8)
+
+
+@query
+def class_means(spark, d):
+    """The mean score of good and of bad documents."""
+    return _r(metrics.class_means(truth_scores(spark, d)), "mean")
+
+
+@query
+def return_scores(spark, d):
+    """Each person's last track against the stored first tracks of all."""
+    return _r(metrics.returned_scores(blocks(spark, d), 0.75), "score", digits=8)
+
+
+@query
+def auroc_undefined(spark, d):
+    """A class is missing: no AUROC, rather than one half."""
+    return metrics.auroc(truth_scores(spark, d).where("y = 1"), None)
+
+
+@query
+def mined_pairs(spark, d):
+    """The pairs mined for a verifier: how many of each class, and that owners are as they must be."""
+    p = pairs.mine_pairs(blocks(spark, d), 2, 10)
+    owners = F.avg((F.col("owner_a") == F.col("owner_b")).cast("double"))
+    return p.groupBy("y").agg((F.count("*") == F.count_distinct("a", "b")).alias("different"), owners.alias("one_owner"))
 
 
 # -- boxes and sightings -----------------------------------------------------------------------------------
@@ -349,7 +398,7 @@ def gt_attribution(spark, d):
 
 @query
 def nms_per_frame(spark, d):
-    return boxes.nms(detections(spark, d).where("frame % 4 = 1"), 0.3, ("frame",))
+    return boxes.nms(detections(spark, d), 0.3, ("frame",))
 
 
 @query
@@ -408,6 +457,14 @@ def coalive_spans(spark, d):
     return boxes.coalive_counts(t)
 
 
+@query
+def session_tracks(spark, d):
+    """Sessions of sightings: the same lifecycle as a stream's operator gives."""
+    s = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    t = session(s, "user_id", "t", "12 hours", "1 day")
+    return t.select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("ends").alias("ends"), "hits")
+
+
 @query
 def continuity_score(spark, d):
     """Each sighting against the object's last: an hour's decay, twenty widths'."""
@@ -494,17 +551,16 @@ def multi_view_cosine(spark, d):
     """A detection against the best of a track's latest three views."""
     o = observations(spark, d)
     w = Window.partitionBy("track").orderBy(F.desc("frame"))
-    views = o.withColumn("n", F.row_number().over(w)).where("n <= 3").select(F.col("track").alias("t"), F.col("vec").alias("v"))
-    p = o.where("item_id % 20 = 0").join(F.broadcast(views)).groupBy("item_id", F.col("t").alias("track"))
-    return p.agg(F.max(F.round(vec.dot(F.col("vec"), F.col("v")), 6)).alias("best"))
+    views = o.withColumn("n", F.row_number().over(w)).where("n <= 3").select(F.col("track").alias("identity_id"), "vec")
+    best = metrics.best_matches(o, views, 6)
+    return best.select("item_id", F.col("identity_id").alias("track"), "best")
 
 
 @query
 def running_embedding(spark, d):
-    """The running mean of an object's values: half the past, half the present."""
-    s = sightings(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", "value"))), lambda x: x["value"]).alias("vs"))
-    fold = F.aggregate(F.slice("vs", 2, 1_000_000_000), F.col("vs")[0], lambda a, x: (a + x) / 2)
-    return s.select("user_id", F.round(fold, 6).alias("mean"))
+    """The running mean of a track's vectors: half the past, half the present, of unit norm."""
+    m = memory.running_means(observations(spark, d), "track", "frame", "item_id")
+    return _long(m.withColumnRenamed("vec", "v"), "track", "v")
 
 
 @query
@@ -570,8 +626,8 @@ def patch_anomaly(spark, d):
     o = table(spark, d, "embeddings").select(F.col("vec_id").alias("crop_id"), F.posexplode("embedding").alias("pos", "x"))
     # a patch on the unit circle, so that the cosine measures the difference of components
     p = o.select("crop_id", F.floor(F.col("pos") / 8).cast("int").alias("gy"), (F.col("pos") % 8).cast("int").alias("gx"), F.array(F.cos(F.col("x") * 4.0), F.sin(F.col("x") * 4.0)).alias("vec"), "pos")
-    bank = p.where("crop_id < 2").select((F.col("crop_id") * 64 + F.col("pos")).alias("item_id"), "vec")
-    return _r(anomaly.patch_score(anomaly.patch_distances(p.where("crop_id >= 2"), bank, digits=9), 8), "score")
+    bank = p.where(f"crop_id < {anomaly.MOST_CROPS}").select((F.col("crop_id") * 64 + F.col("pos")).alias("item_id"), "vec")
+    return _r(anomaly.patch_score(anomaly.patch_distances(p.where(f"crop_id >= {anomaly.MOST_CROPS}"), bank, digits=9), 8), "score")
 
 
 # -- tracking ----------------------------------------------------------------------------------------------
@@ -584,6 +640,19 @@ def track_kalman(spark, d):
     return _r(tracks.filter_boxes(s, "user_id", "at"), "cx", "cy", "w", "h")
 
 
+@query
+def track_single(spark, d):
+    """The tracker over sequences of one detection a frame, in which a track that misses one ends: gates, lifecycle, and
+    the hand-over of those that were confirmed."""
+    s = sightings(spark, d).withColumn("frame", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")))
+    frames = s.select(
+        F.col("user_id").cast("string").alias("seq"), "frame", F.lit(True).alias("detector_ran"), F.lit(0).alias("det_idx"), "x1", "y1", "x2", "y2", F.lit(0.9).alias("score"),
+        F.lit(0).alias("class_id"), F.lit("thing").alias("label"), F.lit(None).cast("array<double>").alias("vec"),
+    )
+    t = tracks.track_frames(frames, TrackerConfig(max_age=0, min_hits=2))
+    return _r(t.select("seq", "frame", "track_id", "x1", "y1", "x2", "y2", "hits", "time_since_update", "state"), "x1", "y1", "x2", "y2")
+
+
 def _walk(spark, d) -> DataFrame:
     """A sequence of sixty frames for every three vectors, in which three walkers cross; a vector of ``embeddings`` is each one's look."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("who"), vec.normalise(F.col("embedding")).alias("look"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import pickle
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +9,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.binding import BinderConfig
 from ..operators.tracking import TrackerConfig
-from ..operators.tracks import TRACK_SCHEMA, SequenceRun
+from ..operators.tracks import TRACK_SCHEMA, SequenceRun, as_frame, as_result
 
-STATE = "job string, last int"
+STATE = "version int, arrays binary, last int"
+VERSION = 1  # of the arrays' names and shapes
 
 
 def one_row_a_frame(detections: DataFrame) -> DataFrame:
@@ -36,34 +34,32 @@ def track_stream(
 
     Frames that a trigger brings are put in order; a frame at or before the last one processed is late and
     dropped. Frames in between that never came count as not looked at: motion is followed, nothing ages.
-    State lives in the checkpoint, keyed by sequence; with ``idle`` (milliseconds as text) a sequence
+    State lives in the checkpoint, keyed by sequence, as an archive of the state's arrays by name and its version; with ``idle`` (milliseconds as text) a sequence
     without frames for that long is forgotten.
     """
-    names = [c.split()[0] for c in TRACK_SCHEMA.split(", ")]
+    columns = ["det_idx", "x1", "y1", "x2", "y2", "score", "class_id", "label", "vec"]
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        packed, last = state.get if state.exists else (None, -1)
-        job = pickle.loads(base64.b64decode(packed)) if packed else SequenceRun(tracker, binder, fps, fold_on_death)
+        version, packed, last = state.get if state.exists else (VERSION, None, -1)
+        if version != VERSION:
+            raise ValueError(f"state of version {version} can't be read")
+        job = SequenceRun.load(bytes(packed), tracker, binder, fps, fold_on_death) if packed else SequenceRun(tracker, binder, fps, fold_on_death)
         rows = pd.concat(list(batches)).sort_values("frame")
         out: list[tuple] = []
         for r in rows.itertuples(index=False):
             if r.frame <= last:
                 continue
-            if last >= 0:
-                job.tracker.advance(int(r.frame) - last - 1)
-            dets = pd.DataFrame([dict(zip(d.keys(), d.values())) if isinstance(d, dict) else d.asDict() for d in (r.detections if r.detections is not None else [])],
-                                columns=["det_idx", "x1", "y1", "x2", "y2", "score", "class_id", "label", "vec"])
-            out += job.feed(key[0], int(r.frame), bool(r.detector_ran), dets)
             last = int(r.frame)
-        state.update((base64.b64encode(pickle.dumps(job)).decode(), last))
+            found = [d if isinstance(d, dict) else d.asDict() for d in (r.detections if r.detections is not None else [])]
+            frame = as_frame(pd.DataFrame(found, columns=columns)) if r.detector_ran else None
+            out += [(key[0], *row) for row in job.feed(last, frame)]
+        state.update((VERSION, job.dump(), last))
         if idle:
             state.setTimeoutDuration(int(idle))
-        result = pd.DataFrame(out, columns=names)
-        result["identity_id"] = result["identity_id"].astype("Int64")
-        yield result
+        yield as_result(out)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     return frames.groupBy("seq").applyInPandasWithState(step, TRACK_SCHEMA, STATE, "append", timeout)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from argusframe.plans import files  # noqa: F401
 from argusframe.plans.oracle import ORACLE_SQL
 from argusframe.plans.queries import QUERIES, _walk
 
