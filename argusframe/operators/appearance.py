@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = (8, 8, 4)  # of hue, saturation, value
+CELLS = np.array([8, 8, 4])  # fixed: of hue, saturation, value
+RANGE = np.array([180.0, 256.0, 256.0])  # fixed: what these lie under
 
 
 def to_hsv(bgr: np.ndarray) -> np.ndarray:
@@ -25,22 +26,46 @@ def to_hsv(bgr: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(np.round(h), 179), np.round(s), v], axis=-1)
 
 
-def colour_bands(bgr: np.ndarray, bands: int) -> np.ndarray:
-    """Unit vector of HSV histograms of ``bands`` horizontal bands, one after the other.
+def band_histograms(bgr: np.ndarray, bands: int) -> np.ndarray:
+    """Colour histograms of ``bands`` horizontal bands of a crop, one after the other, as one unit vector.
 
-    A band without rows takes the whole crop; an empty crop is an error.
+    Each pixel row is counted once; a band is the difference of two running sums over the rows, at the nearest whole
+    rows to its ends. A band without rows takes the whole crop; an empty crop is an error.
     """
-    if bgr.size == 0:
+    height, width = bgr.shape[:2]
+    if not height or not width:
         raise ValueError("empty crop")
-    hsv, edges = to_hsv(bgr), [round(len(bgr) * k / bands) for k in range(bands + 1)]
-    parts = []
-    for a, z in zip(edges, edges[1:]):
-        part = (hsv[a:z] if z > a else hsv).reshape(-1, 3)
-        place = np.minimum(part / np.array([180, 256, 256]) * BINS, np.array(BINS) - 1).astype(np.int64)
-        flat = (place[:, 0] * BINS[1] + place[:, 1]) * BINS[2] + place[:, 2]
-        parts.append(np.bincount(flat, minlength=int(np.prod(BINS))).astype(float))
-    v = np.concatenate(parts)
-    return v / max(np.linalg.norm(v), 1e-12)
+    h, s, v = np.moveaxis(np.minimum((to_hsv(bgr) * (CELLS / RANGE)).astype(np.int64), CELLS - 1), -1, 0)
+    cell = np.ravel_multi_index((h, s, v), tuple(CELLS)) + np.arange(height)[:, None] * CELLS.prod()
+    rows = np.bincount(cell.ravel(), minlength=height * CELLS.prod()).reshape(height, -1)
+    upto = np.vstack([np.zeros(rows.shape[1], dtype=np.int64), rows.cumsum(0)])
+    ends = np.round(height * np.arange(bands + 1) / bands).astype(np.int64)
+    counts = np.where((np.diff(ends) > 0)[:, None], np.diff(upto[ends], axis=0), upto[-1]).ravel().astype(float)
+    return counts / np.sqrt((counts * counts).sum())
+
+
+Embedder = Callable[[list[np.ndarray]], np.ndarray]  # crops of bytes B, G, R -> a row each
+
+
+def build_embedder(kind: str, *, bands: int = 3, weights: np.ndarray | None = None) -> Embedder:
+    """A describer of crops by name: ``colour`` (histograms of bands) or ``projected`` (those, times ``weights``). An unknown name
+    is an error."""
+    if kind not in ("colour", "projected"):
+        raise ValueError(f"unknown embedder {kind!r}")
+    if kind == "projected" and weights is None:
+        raise ValueError("a projection needs weights")
+
+    def embed(crops: list[np.ndarray]) -> np.ndarray:
+        found = np.stack([band_histograms(c, bands) for c in crops])
+        return found if kind == "colour" else found @ np.asarray(weights, dtype=np.float64)
+
+    return embed
+
+
+def build_describer(kind: str, **settings) -> Callable[[DataFrame], DataFrame]:
+    """``describe`` with an embedder by name: ``crops(item_id, height, width, data)`` -> ``item_id, vec``."""
+    embedder = build_embedder(kind, **settings)
+    return lambda crops: describe(crops, embedder)
 
 
 def describe(crops: DataFrame, embedder: Callable[[list[np.ndarray]], np.ndarray], batch: int = 16) -> DataFrame:

@@ -162,3 +162,16 @@ def scene_ranking(boxes: DataFrame, scene: str, wanted, k: int = 10) -> DataFram
     """Scenes by their share of wanted boxes, the first ``k``."""
     g = boxes.groupBy(scene).agg(F.avg(wanted.cast("double")).alias("share"), F.count("*").alias("n"))
     return g.orderBy(F.desc(F.round("share", 9)), scene).limit(k)
+
+
+def build_box_detector(kind: str, *, least_score: float, classes: list[int], threshold: float, by: tuple[str, ...] = ("frame",)):
+    """A function from a model's raw predictions to boxes, by name: ``decoded``, or ``suppressed`` as well. An unknown name is
+    an error. ``predictions`` are those of ``decode_predictions``, with a number ``row`` within their frame."""
+    if kind not in ("decoded", "suppressed"):
+        raise ValueError(f"unknown detector {kind!r}")
+
+    def detect(predictions: DataFrame) -> DataFrame:
+        found = decode_predictions(predictions, least_score, classes).withColumnRenamed("row", "det_idx")
+        return found if kind == "decoded" else found.join(nms(found, threshold, by), [*by, "det_idx"], "left_semi")
+
+    return detect

@@ -693,3 +693,10 @@ def mot_idf1(spark, d):
     truth = w.where("det_idx is not null").select("seq", "frame", "id", "x1", "y1", "x2", "y2", F.lit(1.0).alias("visibility"))
     found = tracks.track_frames(w.drop("id"), CROSSING, BinderConfig()).where("state = 'active' and time_since_update = 0")
     return _r(evaluate.mot_scores(truth, found), *evaluate.MEASURES)
+
+
+@query
+def binding_sweep(spark, d):
+    """The binder run anew at three thresholds: identities and bindings at each."""
+    t = tracks.sweep_thresholds(_walk(spark, d).drop("id"), [0.55, 0.593, 0.65], CROSSING, BinderConfig())
+    return t.groupBy("threshold").agg(F.count_distinct("seq", "identity_id").alias("identities"), F.sum("created").alias("created"), F.sum("rebound").alias("rebound"))

@@ -146,6 +146,60 @@ def test_pairs(spark):
     assert sum(r.test for r in sides) == 1 and len(sides) == 4
 
 
+def test_drawn_pairs_are_a_sample_of_all(spark):
+    o = spark.createDataFrame([(t, t * 1000 + i, i) for t, n in enumerate((1, 2, 30, 7, 64)) for i in range(n)], "track long, item_id long, frame long")
+    every = {tuple(r) for r in pairs.positive_pairs(o, 2).collect()}
+    for cap in (1, 10, 10_000):
+        some = [tuple(r) for r in pairs.positive_pairs(o, 2, cap, seed=3).collect()]
+        assert len(some) == len(set(some)) and set(some) <= every
+        n = {t: sum(r[0] == t for r in every) for t in range(5)}
+        assert all(sum(r[0] == t for r in some) == min(cap, n[t]) for t in n)
+    every = {tuple(r) for r in pairs.negative_pairs(o).collect()}
+    for wanted in (5, 300, 10**6):
+        some = [tuple(r) for r in pairs.negative_pairs(o, wanted, seed=2).collect()]
+        assert len(some) == len(set(some)) == min(wanted, len(every)) and set(some) <= every
+    assert pairs.negative_pairs(o, 50, seed=1).exceptAll(pairs.negative_pairs(o.repartition(3), 50, seed=1)).isEmpty()
+    mined = pairs.mine_pairs(o, 2, 20).collect()
+    assert sum(r.y for r in mined) * 2 == len(mined) > 20 and all((r.owner_a == r.owner_b) == (r.y == 1) for r in mined)
+
+
+def test_hard_negatives_and_similarities_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i % 3, int(rng.integers(3)), i, rng.normal(size=4).round(1).tolist()) for i in range(45)]
+    o = spark.createDataFrame(rows, "sequence long, person long, item_id long, vec array<double>").repartition(4)
+    got = {(r.a, r["rank"]): r.b for r in pairs.hard_negatives(o.withColumnRenamed("item_id", "a"), o, 4).collect()}
+    for s, p, i, v in rows:
+        order = sorted((-round(float(np.dot(v, w)), 6), j) for t, q, j, w in rows if t == s and q != p)[:4]
+        assert [got[i, k + 1] for k in range(len(order))] == [j for _, j in order]
+    found = {r.person: r for r in metrics.pair_similarity(o, block=4).collect()}
+    for p in range(3):
+        s = [round(float(np.dot(v, w)), 6) for _, a, i, v in rows for _, b, j, w in rows if a == b == p and i < j]
+        assert found[p].pairs == len(s) and found[p].mean == pytest.approx(np.mean(s)) and found[p].median == pytest.approx(np.median(s))
+
+
+def test_counts_descriptions_and_models(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "identity_id long")
+    e = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "item_id long, identity_id long")
+    assert tuple(memory.identity_counts(ids, e).first()) == (3, 3, 2) and tuple(memory.identity_counts(ids.limit(0), e.limit(0)).first()) == (0, 0, 0)
+    b = spark.createDataFrame([(1, 5, 0.0, 0.0, 16.0, 32.0, 0), (1, 4, 0.0, 0.0, 16.0, 31.0, 0), (2, 1, 0.0, 0.0, 50.0, 50.0, 1), (3, 2, 0.0, 0.0, 50.0, 50.0, 0)],
+                              "identity_id long, frame int, x1 double, y1 double, x2 double, y2 double, time_since_update long")
+    assert sorted((r.identity_id, r.frame) for r in memory.describable(b, ids.where("identity_id = 3")).collect()) == [(1, 5)]
+    patches = spark.createDataFrame([(i, 0, 0, [1.0, 0.0]) for i in range(60)], "crop_id long, gy int, gx int, vec array<double>")
+    crops = spark.createDataFrame([(i, None if i % 2 else 7) for i in range(60)], "crop_id long, identity_id long")
+    assert anomaly.patch_bank(patches, crops).count() == 30 and anomaly.patch_bank(patches, crops.withColumn("identity_id", F.lit(1))).count() == 40
+    cache = anomaly.ModelCache("knn", k=2)
+    normal = vectors(spark, [(i, [float(i), 1.0]) for i in range(20)])
+    assert cache.model("a", normal.limit(7)) is None
+    first = cache.model("a", normal.limit(8))
+    assert first is not None and cache.model("a", normal.limit(9)) is first and cache.model("a", normal.limit(10)) is not first
+
+
+def test_a_session_counts_once_at_each_threshold(spark):
+    t = tracks.sweep_thresholds(walkers(spark), [0.5, 1.1], TrackerConfig(), BinderConfig())
+    n = {r.threshold: r.n for r in t.groupBy("threshold").agg(F.count_distinct("seq", "identity_id").alias("n")).collect()}
+    assert n[0.5] == 4 <= n[1.1]
+
+
 def test_coalive_counts_against_pairs(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(a), int(a + d)) for i, (a, d) in enumerate(zip(rng.integers(0, 40, 120), rng.integers(0, 5, 120)))]
@@ -323,6 +377,7 @@ def test_forms_of_retrieval_and_identity_scores_agree(spark, monkeypatch, bound)
     rows = [(i, int(rng.integers(4)), int(rng.integers(8)), i, rng.normal(size=4).round(1).tolist()) for i in range(40)]
     o = spark.createDataFrame(rows, "item_id long, person long, track long, frame long, vec array<double>")
     monkeypatch.setattr(metrics, "QUERY_BOUND", bound)
+    monkeypatch.setattr(search, "QUERY_BOUND", bound)
     r = metrics.retrieval(o).first()
     firsts = []
     for i, p, t, _, v in rows:
@@ -330,6 +385,17 @@ def test_forms_of_retrieval_and_identity_scores_agree(spark, monkeypatch, bound)
             order = sorted((x for x in rows if x[2] != t), key=lambda x: (-round(float(np.dot(v, x[4])), 6), x[0]))
             firsts.append(next(k for k, x in enumerate(order, 1) if x[1] == p))
     assert r.queries == len(firsts) and r.rank5 == pytest.approx(np.mean([f <= 5 for f in firsts]))
+    ranks = metrics._counted_ranks(o.select("item_id", "person", "track", "vec"), 6, block=7).collect()
+    mine = metrics._hit_ranks(o.select("item_id", "person", "track", "vec"), o.toPandas(), 6).collect()
+    assert sorted((x.query, x["rank"]) for x in ranks) == sorted((x.query, x["rank"]) for x in mine)
+    top = {(x.query_id, x["rank"]): (x.identity_id, x.score) for x in search.identity_top_k(o.withColumnRenamed("item_id", "query_id"), o.withColumn("identity_id", F.col("person")), 3, block=7).collect()}
+    for i, _, _, _, v in rows:
+        best = {}
+        for j, p, _, _, w in rows:
+            if j != i:
+                best[p] = max(best.get(p, -9), round(float(np.dot(v, w)), 6))
+        order = sorted(best, key=lambda p: (-best[p], p))[:3]
+        assert [top[i, k + 1] for k in range(len(order))] == [(p, best[p]) for p in order]
     e = o.where("item_id < 10").select(F.col("person").alias("identity_id"), "vec")
     got = {(x.track, x.identity_id): x.score for x in metrics.identity_scores(o, e, None, 0.75).collect()}
     for t, k in got:
