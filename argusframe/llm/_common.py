@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +16,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a local folder is made and set.
+    Where that is unset, a local folder is made and set if driver and executors are one process (tests, a laptop);
+    on a cluster, that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jdir.isDefined() and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = jdir.get() if jdir.isDefined() else tempfile.mkdtemp(prefix="argusframe-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -29,33 +31,76 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _FOLDER = f"argusframe-{uuid.uuid4().hex}"  # this driver's own, in the shared folder
-_written: set[str] = set()
+_passing: list[list[str]] = []  # what is written within each open ``temporary``
 
 
-@atexit.register
-def _clean() -> None:
-    """Results read what ``stored`` wrote until the driver ends; then it goes, if Spark still runs."""
-    sc = SparkContext._active_spark_context
-    with contextlib.suppress(Exception):
-        for root in _written if sc else ():
-            path = sc._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts lineage: an executor lost later costs no recomputation of what stands before. An empty
-    frame comes back empty, with the same schema. The files go when the driver ends.
+    frame comes back empty, with the same schema. The files go with the ``temporary`` around, else when the
+    session's file systems are closed, at the latest as the driver's JVM ends.
     """
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/{_FOLDER}"
-    _written.add(root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if _passing:
+        _passing[-1].append(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """What is ``stored`` within goes at the end; results must be stored outside, by ``lasting``.
+
+    The shuffles of queries that have ended go as well, at the JVM's next collection, which is asked for here: it may
+    be far off on a driver that does little, while the executors' disks fill.
+    """
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            _delete(spark, path)
+        spark._jvm.System.gc()
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, to outlive the innermost ``temporary``."""
+    inner = _passing.pop() if _passing else None
+    try:
+        return stored(df, name)
+    finally:
+        if inner is not None:
+            _passing.append(inner)
+
+
+def join_weighted(left: DataFrame, right: DataFrame, keys: list[str], weight: str, share: int = 2000) -> DataFrame:
+    """Inner join on ``keys``, of which no task gets more than a ``share``-th of the work by one key.
+
+    ``right`` has one row a key and in ``weight`` how many rows of ``left`` may have that key. Keys with more than
+    a ``share``-th of all weight are fewer than ``share`` by that alone, so they are broadcast and ``left``'s rows
+    with them stay where they are; the rest is shuffled. Null keys match nothing. ``right`` is read some times over.
+    """
+    total = right.agg(F.sum(weight)).first()[0]
+    if not total:
+        return left.join(right, keys)
+    hot = right.where(F.col(weight) * share > total)
+    if hot.isEmpty():
+        return left.join(right, keys)
+    heavy = left.join(F.broadcast(hot), keys)
+    light = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) * share <= total), keys)
+    return heavy.unionByName(light)
+
+
 BATCH_ROWS = 1000
 
 
@@ -72,6 +117,28 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def told(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A stored ``df`` of a few numbers a row, to be broadcast if it is counted to have ``most`` rows or fewer; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
+def tidy(each):
+    """``each`` for ``mapInArrow``: a worker that is done gives the memory that it freed back to the system.
+
+    Workers serve one stage after the other; what their allocators hold back would add up on an executor.
+    """
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from each(batches)
+        finally:
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Remembered(dict):
     """key -> ``make(key)``, remembered in two generations of at most ``limit`` short keys each.
 
@@ -107,7 +174,7 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _heads(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning_heads(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and the smallest node of each one's component, by labels that spread and jump."""
     nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = place[: len(u)], place[len(u) :]
@@ -126,10 +193,10 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     def run(batches):
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if parts:
-            nodes, heads = _heads(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+            nodes, heads = spanning_heads(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(heads)], ["node", "component"])
 
-    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+    return edges.coalesce(1).mapInArrow(tidy(run), "node long, component long")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = 1_000_000) -> DataFrame:

@@ -7,10 +7,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ._common import bounded_batches, connected_components, stored
+from ._common import bounded_batches, connected_components, join_weighted, lasting, spanning_heads, stored, temporary, tidy, told
 
 BITS, SEGMENT = 64, 32
 HASH_SEED = 42
@@ -76,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(tidy(run), f"id {kind}, fp long")
 
 
 def _ball(value) -> F.Column:
@@ -146,17 +147,17 @@ def simhash_groups(
 
 def _components_of(prints: DataFrame, hot: int) -> DataFrame:
     """``prints(id, fp)`` -> ``id, fp, component_id`` over links of two bits or fewer."""
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "simhash-nodes")
     comps = connected_components(link_fingerprints(nodes.select("fp"), hot))
     tied = nodes.join(comps, nodes["fp"] == comps["node"]).select("fp", "component", "least")
     heads = tied.groupBy("component").agg(F.min("least").alias("head"))
     tied = tied.join(heads, "component").select("fp", "head")
-    own = nodes.join(tied, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"))
-    return prints.join(own, "fp").select("id", "fp", "component_id")
+    own = nodes.join(tied, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"), "rows")
+    return join_weighted(prints, stored(own, "simhash-own"), ["fp"], "rows").select("id", "fp", "component_id")
 
 
 TABLES, KEY_BITS = 32, 32  # each indexed by that many bits of a wide fingerprint, drawn at random
-FARTHEST = 64  # differing bits of 256 that still make a candidate; unrelated texts differ in 128 +- 8
+FARTHEST = 52  # differing bits of 256 that still make a candidate; unrelated texts differ in 128 +- 8
 
 
 def table_keys(wide: np.ndarray) -> np.ndarray:
@@ -173,7 +174,7 @@ def shingle_similarity(a: str | None, b: str | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-COMMON, MOST_COMMON = 8, 1 << 18  # prefixes that hold a common shingle; shingles whose count is told to all tasks
+COMMON, MOST_COMMON, LOOKED_AT = 1, 1 << 18, 16  # a common shingle is in more sampled rows; how many are told to all tasks; one row in so many is sampled
 
 
 def shingle_prefixes(
@@ -182,23 +183,23 @@ def shingle_prefixes(
     """``rows(id, text)`` -> ``(h, id, size)``, the first shingles of each row's set in one order for all rows.
 
     Of a set of n, as many are given that two sets with a Jaccard similarity of ``similarity`` or more have
-    one of them in common, whatever the order: n less ceil(similarity * n), and one. The order is by hash,
-    but for ``common`` (sorted hashes, counts): those come last, by count.
+    one of them in common, whatever the order: n less ceil(similarity * n), and one; all of them for a similarity
+    of 0. The order is by hash, but for ``common`` (sorted hashes, counts): those come last, by count.
     """
     kind, spark = rows.schema["id"].dataType.simpleString(), rows.sparkSession
-    told = spark.sparkContext.broadcast(common) if common and len(common[0]) else None
+    sent = spark.sparkContext.broadcast(common) if common and len(common[0]) else None
 
     def run(batches):
-        hashes, counts = told.value if told else (None, None)
+        hashes, counts = sent.value if sent else (None, None)
         for b in batches:
             firsts, sizes = [], []
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, words).astype("<u8").view("<i8"))
                 n = len(h)
-                if told and n:
+                if sent and n:
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
-                firsts.append(h[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else h)
+                firsts.append(h[: prefix_size(n, similarity)])
                 sizes.append(n)
             long = [len(f) for f in firsts]
             ids = b.column(0).take(pa.array(np.repeat(np.arange(len(firsts)), long)))
@@ -209,43 +210,140 @@ def shingle_prefixes(
                     ["h", "id", "size"],
                 )
 
-    return rows.select("id", "text").mapInArrow(run, f"h long, id {kind}, size long")
+    return rows.select("id", "text").mapInArrow(tidy(run), f"h long, id {kind}, size long")
 
 
-def common_shingles(rows: DataFrame, similarity: float, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles in most prefixes by hash alone, sorted, and in how many of an eighth of the rows.
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles in most of a sixteenth of the rows, sorted, and in how many: at most ``MOST_COMMON``.
 
     They only set the order, which decides how much is compared, never what is found.
     """
-    some = rows.where("pmod(xxhash64(id), 8) = 0")
-    counts = shingle_prefixes(some, similarity, words).groupBy("h").count().where(F.col("count") > COMMON)
+    some = rows.where(f"pmod(xxhash64(id), {LOOKED_AT}) = 0")
+    counts = shingle_prefixes(some, 0, words).groupBy("h").count().where(F.col("count") > COMMON)
     found = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
     h, n = found.column(0).to_numpy(), found.column(1).to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def unsettled_pairs(rows: DataFrame, known: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Pairs ``(a, b)`` of ids that may be alike and have different components in ``known(id, component)``.
+def prefix_size(n: int, similarity: float) -> int:
+    """How many shingles of a set of ``n`` are its prefix."""
+    return min(n, n - int(np.ceil(similarity * n - 1e-9)) + 1)
 
-    Every pair of ``rows(id, text)`` at ``similarity`` or more is among them or has one component already: both
-    have a shingle of their prefixes in common. Shingles of one component only are dropped before pairing.
+
+def least_shared(x: str, y: str, similarity: float) -> str:
+    """SQL: shingles that prefixes of sets of ``x`` and ``y`` at ``similarity`` or more have in common at least.
+
+    Such sets share ``both`` shingles at least. The k-th of these, in the order of all, has at most ``x - both`` others
+    of its set before it, so the first k are in both prefixes while those are as long.
     """
-    first = shingle_prefixes(rows, similarity, words, common_shingles(rows, similarity, words))
-    same = Window.partitionBy("h")
-    first = stored(first.withColumn("n", F.count("*").over(same)).where("n > 1").drop("n"), "shingle-prefixes")
-    first = stored(first.join(known, "id").select("h", "id", "size", "component"), "shingle-known")
-    mixed = first.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("h")
-    first = stored(first.join(mixed, "h"), "shingle-mixed")
-    x, y = first.alias("x"), first.alias("y")
-    near = f"x.size >= {similarity} * y.size - 1e-6 and y.size >= {similarity} * x.size - 1e-6"
+    both = f"ceil({similarity / (1 + similarity)!r}D * ({x} + {y}) - 1e-9D)"
+    spare = lambda n: f"({both} - ceil({similarity}D * {n} - 1e-9D) + 1)"
+    return f"greatest(1, least({spare(x)}, {spare(y)}))"
+
+
+CROWD = 64  # rows of one shingle that are paired; more are compared in blocks
+
+
+def unsettled_pairs(
+    rows: DataFrame, known: DataFrame, similarity: float, words: int, crowd: int = CROWD
+) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``(a, b)`` of ids that may be alike and have different components in ``known(id, component)``, and edges
+    ``(a, b)`` between ids that are, from shingles that too many rows have to be paired.
+
+    Every pair of ``rows(id, text)`` at ``similarity`` or more is among the former, connected by the latter, or has
+    one component already: both have so many shingles of their prefixes in common as ``least_shared`` says, which most
+    other pairs haven't. Shingles of one component only are dropped before pairing.
+    """
+    first = stored(shingle_prefixes(rows, similarity, words, common_shingles(rows, words)), "shingle-prefixes")
+    twice = first.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("rows"))
+    twice = stored(twice.where("lo != hi").select("h", "rows"), "shingle-twice")
+    first = join_weighted(first, twice, ["h"], "rows").select("h", "id", "size").join(known, "id")
+    first = stored(first.select("h", "id", "size", "component"), "shingle-known")
+    mixed = first.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"))
+    mixed = stored(mixed.where("lo != hi").select("h", "rows"), "shingle-mixed")
+    first = join_weighted(first, mixed, ["h"], "rows")
+    hot = stored(first.where(F.col("rows") > crowd), "shingle-crowds")
+    several = hot.groupBy("id", "size").agg(F.count("*").alias("hot"))
+    few = first.where(F.col("rows") <= crowd).drop("rows").join(several, ["id", "size"], "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    few = stored(few, "shingle-open")
+    x, y = few.alias("x"), few.alias("y")
+    near = f"x.size >= {similarity}D * y.size - 1e-6D and y.size >= {similarity}D * x.size - 1e-6D"
     met = x.join(y, F.expr(f"x.h = y.h and x.component < y.component and {near}"))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    # rows that repeat an id count by themselves, by their sizes; what crowds have in common isn't counted here
+    spared = F.least("x.hot", "y.hot").alias("spared")
+    met = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"), spared).count()
+    pairs = met.where(F.col("count") >= F.greatest(F.lit(1), F.expr(least_shared("m", "n", similarity)) - F.col("spared"))).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ).distinct()
+    return pairs, None if hot.isEmpty() else crowded_edges(rows, known, hot, similarity, words)
+
+
+def crowded_edges(rows: DataFrame, known: DataFrame, hot: DataFrame, similarity: float, words: int, block: int = 512) -> DataFrame:
+    """Edges ``(a, b)`` that connect all alike rows that share a shingle of ``hot(h, id, size, rows)``.
+
+    Rows are gathered in clusters by the shingles that they share, and within these by size, in steps of ``similarity``,
+    so that alike rows are at most one step apart. A cluster's steps are dealt in blocks; a pair of blocks is the unit
+    of work, which counts the shingles in common as a matrix product and gives a star for each of its components.
+    """
+    least = stored(hot.groupBy("h").agg(F.min("id").alias("b"), F.max("rows").alias("rows")), "crowd-heads")
+    ties = join_weighted(hot.select("h", "id"), least, ["h"], "rows").select(F.col("id").alias("a"), "b")
+    clusters = connected_components(ties).withColumnRenamed("node", "id")
+    step = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(similarity))).cast("int").alias("step")
+    members = hot.select("id", step).distinct().join(clusters, "id", "left").select("id", "step", F.coalesce("component", "id").alias("cluster"))
+    members = stored(members, "crowd-members")
+    sizes = stored(members.groupBy("cluster", "step").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks")), "crowd-sizes")
+    other = sizes.select("cluster", F.col("step").alias("y"), F.col("blocks").alias("y_blocks"))
+    units = sizes.withColumn("y", F.explode(F.array("step", F.col("step") + 1))).join(other, ["cluster", "y"])
+    units = units.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "j", F.explode(F.expr("if(step = y, sequence(i, y_blocks - 1), sequence(0, y_blocks - 1))"))
+    ).select("cluster", F.col("step").alias("x"), "y", "i", "j")
+    dealt = members.join(sizes, ["cluster", "step"]).select("cluster", "step", "id", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("blk"))
+    unit = ["cluster", "x", "y", "i", "j"]
+    side = lambda step, blk, n: units.select(*unit, F.col(step).alias("step"), F.col(blk).alias("blk"), F.lit(n).alias("side"))
+    both = side("x", "i", 0).unionByName(side("y", "j", 1).where("x != y or i != j")).join(dealt, ["cluster", "step", "blk"])
+    sets = rows.join(told(stored(members.select("id").distinct().join(known, "id"), "crowd-known")), "id").select("id", "component", "text")
+    both = both.join(sets, "id").select(*unit, "side", "id", "component", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        one = group.column("x")[0] == group.column("y")[0] and group.column("i")[0] == group.column("j")[0]
+        which, ids, component = (group.column(c).to_numpy() for c in ("side", "id", "component"))
+        tokens = [np.unique(shingle_hashes(t, words)) for t in group.column("text").to_pylist()]
+        p, q = np.flatnonzero(which == 0), np.flatnonzero(which == (0 if one else 1))
+        a, b = alike_pairs([tokens[k] for k in p], [tokens[k] for k in q], similarity)
+        a, b = p[a], q[b]
+        good = component[a] != component[b]
+        nodes, heads = spanning_heads(ids[a[good]], ids[b[good]])
+        keep = nodes != heads
+        return pa.table({"a": nodes[keep], "b": heads[keep]})
+
+    return stored(both.groupBy(*unit).applyInArrow(compare, "a long, b long"), "crowd-edges")
+
+
+def alike_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of sets, one of each list, with a Jaccard similarity of ``similarity`` or more; empty sets are equal."""
+    sizes = [np.array([len(t) for t in part], dtype=np.int64) for part in (left, right)]
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    flat = [np.concatenate([np.zeros(0, "<u8"), *part]) for part in (left, right)]
+    owner = [np.repeat(np.arange(len(part)), n) for part, n in zip((left, right), sizes)]
+    vocab = np.intersect1d(*flat)
+    for at in range(0, len(vocab), width):  # some shingles at a time
+        part, m = vocab[at : at + width], []
+        for f, o, n in zip(flat, owner, (len(left), len(right))):
+            place = np.minimum(np.searchsorted(part, f), len(part) - 1)
+            hit = part[place] == f
+            dense = np.zeros((n, len(part)), dtype=np.float32)
+            dense[o[hit], place[hit]] = 1
+            m.append(dense)
+        shared += m[0] @ m[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - shared.astype(np.int64)
+    score = np.divide(shared, union, out=np.ones(shared.shape), where=union > 0)
+    return np.nonzero(score >= similarity)
 
 
 def near_duplicate_groups(
     docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text",
-    shingle: int = 3, hot: int = 64,
+    shingle: int = 3, hot: int = 64, crowd: int = CROWD,
 ) -> DataFrame:
     """One row a row of ``docs``: ``<id_col>, component_id``, the smallest id reachable over links.
 
@@ -253,12 +351,24 @@ def near_duplicate_groups(
     shingles have a Jaccard similarity of ``similarity`` or more. All of these links count, however many documents
     there are. A first round settles most of them cheaply: each document is held against the least one in its
     bucket of each of 32 tables, which are indexed by bits of a wide fingerprint of 256 bits. Then all pairs
-    that may be alike by their shingles' prefixes and aren't connected yet are compared. So a large group of near
-    copies isn't paired, and what the first round misses only costs comparisons. Null text counts as empty, a
-    null id links with nothing and has a null component; equal wide fingerprints link.
+    that may be alike by their shingles' prefixes and aren't connected yet are compared, those of crowded shingles in
+    blocks. So a large group of near copies isn't paired, and what the first round misses only costs comparisons. Null
+    text counts as empty, a null id links with nothing and has a null component; equal wide fingerprints link. Ids are
+    whole numbers; of other types they raise a TypeError. Rows that repeat an id share a component, ties go to the
+    smallest id, whole texts of any length are compared, and an empty table gives none.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
+    kind = docs.schema[id_col].dataType
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with temporary(docs.sparkSession):
+        comps = lasting(_near_components(base, similarity, words, shingle, hot, crowd), "near-components")
+    out = base.select("id").join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("component_id").cast(kind).alias("component_id"))
+
+
+def _near_components(base: DataFrame, similarity: float, words: int, shingle: int, hot: int, crowd: int) -> DataFrame:
+    """``(id, component)`` of the rows of ``base(id, text)`` that link with any."""
 
     def run(batches):
         for b in batches:
@@ -267,11 +377,11 @@ def near_duplicate_groups(
             keys = pa.array(list(table_keys(wide)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), *words_, keys], ["id", "fp", "f1", "f2", "f3", "keys"])
 
-    prints = stored(base.mapInArrow(run, f"id {kind}, fp long, f1 long, f2 long, f3 long, keys array<long>"), "wide-prints")
+    prints = stored(base.mapInArrow(tidy(run), "id long, fp long, f1 long, f2 long, f3 long, keys array<long>"), "wide-prints")
     bits = ["fp", "f1", "f2", "f3"]
     narrow = _components_of(prints.select("id", "fp"), hot).select("id", "component_id")
-    nodes = stored(prints.where("id is not null").groupBy(*bits, "keys").agg(F.min("id").alias("rep")), "wide-nodes")
-    member = prints.drop("keys").join(nodes.drop("keys"), bits).select("id", "rep")
+    nodes = stored(prints.where("id is not null").groupBy(*bits, "keys").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "wide-nodes")
+    member = join_weighted(prints.drop("keys"), nodes.drop("keys"), bits, "rows").select("id", "rep")
     equal = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     close = narrow.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
 
@@ -282,18 +392,34 @@ def near_duplicate_groups(
     apart = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in bits)
 
     def judge(batches):
+        seen: dict[int, tuple] = {}  # some texts and their sets, by id
+
+        def set_of(key, text) -> np.ndarray:
+            if key not in seen:
+                if len(seen) >= 256:
+                    seen.clear()
+                seen[key] = text, np.unique(shingle_hashes(text, words))
+            if seen[key][0] != text:
+                return np.unique(shingle_hashes(text, words))
+            return seen[key][1]
+
         for b in batches:
-            alike = [shingle_similarity(x, y, words) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            alike = []
+            for i, j, s, t in zip(*(b.column(k).to_pylist() for k in range(4))):
+                x, y = set_of(i, s), set_of(j, t)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - both
+                alike.append(not union or both / union >= similarity)
             yield b.select([0, 1]).filter(pa.array(alike, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs ``(a, b)``, those alike by their texts."""
-        needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-        texts = stored(base.join(needed, "id").distinct(), "wide-texts")
+        needed = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "wide-needed")
+        texts = stored(base.join(told(needed), "id").distinct(), "wide-texts")
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
         right = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
-        return both.mapInArrow(judge, "a long, b long")
+        return both.mapInArrow(tidy(judge), "a long, b long")
 
     leaders = table.groupBy("slot").agg(F.min("rep").alias("a"))
     pairs = table.join(leaders, "slot").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
@@ -303,10 +429,10 @@ def near_duplicate_groups(
     comps = connected_components(edges).withColumnRenamed("node", "id")
     rows = base.where("id is not null")
     known = rows.select("id").distinct().join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    rest = stored(unsettled_pairs(rows, stored(known, "wide-known"), similarity, words), "wide-rest")
-    comps = connected_components(edges.unionByName(verified(rest))).withColumnRenamed("node", "id")
-    out = prints.select("id").distinct().join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("component_id"))
-    return base.select("id").join(out.where("id is not null"), "id", "left").select(F.col("id").alias(id_col), "component_id")
+    rest, crowds = unsettled_pairs(rows, stored(known, "wide-known"), similarity, words, crowd)
+    edges = edges.unionByName(verified(stored(rest, "wide-rest")))
+    comps = connected_components(edges.unionByName(crowds) if crowds else edges).withColumnRenamed("node", "id")
+    return comps
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -317,4 +443,5 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **options)
     head = F.col(id_col).eqNullSafe(F.col("component_id"))
     gone = groups.groupBy(F.col(id_col).alias("__id")).agg(F.max(head).alias("__head")).where(~F.col("__head"))
+    gone = told(lasting(gone.select("__id"), "near-gone"))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
