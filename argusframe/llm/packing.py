@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered, bounded_batches, stored
+from ._common import Remembered, bounded_batches, stored, tidy
 from .token_counts import byte_letters
 
-CACHE = 300_000  # words that one Python worker remembers, in each of two generations
+CACHE = 150_000  # words that one Python worker remembers, in each of two generations
 
 
 # -- token ids -----------------------------------------------------------------------------------------
@@ -108,7 +108,7 @@ def token_pieces(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # -- the plan --------------------------------------------------------------------------------------------
