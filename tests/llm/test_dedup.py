@@ -78,6 +78,30 @@ def test_components(spark, one_task):
     assert connected_components(df.limit(0), one_task=one_task).collect() == []
 
 
+@pytest.mark.parametrize("share", [2000, 4])
+def test_weighted_joins(spark, share):
+    from argusframe.llm._common import join_weighted
+
+    left = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3, 4, None])], "k long, i long").repartition(5)
+    right = spark.createDataFrame([(1, 50, "a"), (2, 3, "b"), (5, 1, "c"), (None, 1, "d")], "k long, n long, v string")
+    got = sorted((r.k, r.i, r.v) for r in join_weighted(left, right, ["k"], "n", share).collect())
+    assert got == sorted([(1, i, "a") for i in range(50)] + [(2, i, "b") for i in range(50, 53)])
+    assert join_weighted(left, right.limit(0), ["k"], "n", share).collect() == []
+
+
+def test_what_is_written_on_the_way_goes(spark):
+    import os
+
+    from argusframe.llm._common import lasting, stored, temporary
+
+    with temporary(spark):
+        inner = stored(spark.range(3), "inner")
+        kept = lasting(inner, "kept")
+        where = [f.removeprefix("file:") for f in inner.inputFiles()]
+        assert all(map(os.path.exists, where))
+    assert not any(map(os.path.exists, where)) and kept.count() == 3
+
+
 def brute_fingerprint(text):
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else ([" ".join(words)] if words else [])
@@ -149,19 +173,63 @@ def test_embedding_groups(spark, block):
     ids = list(range(100, 100 + len(v)))
     odd = [(1, None), (2, [0.0] * 16), (3, [float("nan")] * 16), (4, [1.0] * 15), (5, []), (6, [None] + [1.0] * 15), (7, [float("inf")] * 16)]
     df = spark.createDataFrame([*zip(ids, v), *odd], "vec_id long, embedding array<double>").withColumn("rep", F.lit("x")).withColumn("label", F.lit(1))
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(df, block=block, radius=3).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(df, block=block).collect()}
     want = brute_cosine(ids, v, 0.9)
     links, found = sum(n for n, _ in want.values()), sum(got[i][0] for i in ids)
-    assert 0.97 * links <= found <= links
-    assert sum(got[i] == want[i] for i in ids) >= 0.95 * len(ids)
+    assert 0.998 * links <= found <= links
+    assert sum(got[i] == want[i] for i in ids) >= 0.98 * len(ids)
     assert all(got[i] == (0, i) for i, _ in odd)
 
 
+def near_pairs(rng, x, cosine):
+    """Unit rows at that cosine from those of ``x``."""
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("block", [512, 30])
+def test_links_just_above_the_threshold(spark, block):
+    """As the query runs: 64 dimensions, its own parameters, planted pairs at cosine 0.9005 to 0.92."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64)) @ np.diag(np.linspace(1, 0.2, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = near_pairs(rng, x[:1200], rng.choice([0.9005, 0.91, 0.92], (1200, 1)))
+    below = near_pairs(rng, x[1200:1500], 0.8995)
+    v = np.concatenate([x, y, below])
+    want = brute_cosine(list(range(len(v))), v, 0.9)
+    got = {r.vec_id: r for r in embedding_groups(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>"), block=block).collect()}
+    links, found = sum(n for n, _ in want.values()), sum(r.n_links for r in got.values())
+    assert links >= 2400 and 0.995 * links <= found <= links
+    assert all(r.n_links <= want[i][0] and r.kept == (r.component_id == i) for i, r in got.items())
+
+
+def test_a_large_group_of_equal_and_near_vectors(spark):
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=32)
+    v = [one.tolist()] * 3000 + [(one + 0.02 * rng.normal(size=32)).tolist() for _ in range(900)] + rng.normal(size=(600, 32)).tolist()
+    got = {r.vec_id: r for r in embedding_groups(spark.createDataFrame(list(enumerate(v)), "vec_id int, embedding array<double>").repartition(7)).collect()}
+    want = brute_cosine(list(range(len(v))), v, 0.9)
+    assert sum(r.n_links for r in got.values()) >= 0.999 * sum(n for n, _ in want.values())
+    assert sum(r.component_id == want[i][1] and r.n_links <= want[i][0] for i, r in got.items()) >= len(v) - 3
+
+
+def test_plan_grows_with_the_logarithm():
+    from argusframe.llm.embedding_dedup import fit_plan
+
+    x = np.random.default_rng(0).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plans = [fit_plan(x, n, 0.9, 0.999) for n in (1000, 50_000, 10**7)]
+    assert [p.width for p in plans][:2] == [8, 14] and plans[2].width > 14 and all(p.recall >= 0.999 and p.tables <= 62 for p in plans)
+
+
 def test_embedding_groups_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_groups(df).collect() == []
     one = spark.createDataFrame([(None, [1.0, 2.0]), (3, None)], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, embedding_groups(one).collect()), key=str) == sorted([(None, 0, None, True), (3, 0, 3, True)], key=str)
+    with pytest.raises(TypeError):
+        embedding_groups(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<float>"))
 
 
 def test_codes_are_balanced():
@@ -197,10 +265,10 @@ def planted(seed, n=120):
     return texts
 
 
-@pytest.mark.parametrize("length, hot, seed", [(40, 4000, 0), (40, 2, 1), (33, 4000, 2)])
+@pytest.mark.parametrize("length, hot, seed", [(40, 4000, 0), (40, 2, 1), (33, 4000, 2), (40, 1, 3)])
 def test_repeats_against_brute_force(spark, length, hot, seed):
     texts = planted(seed)
-    got = sorted(tuple(r)[1:5] for r in suffix_dedup.remove_repeats(frame(spark, texts), length, hot=hot).collect())
+    got = sorted(tuple(r)[1:5] for r in suffix_dedup.remove_repeats(frame(spark, texts), length, crowd=hot).collect())
     want = sorted(brute_repeats(texts, length))
     assert got == want and sum(w[1] for w in want) > 0
 
@@ -233,26 +301,81 @@ def test_repeats_ids_and_columns(spark):
     assert suffix_dedup.remove_repeats(frame(spark, []), 40).collect() == []
 
 
-def test_windows_are_compared_when_digests_collide(monkeypatch):
+@pytest.mark.parametrize("size", [1, 8])
+def test_windows_are_sorted_over_all_their_letters(size):
     rng = random.Random(9)
     segments = ["".join(rng.choice("ab") for _ in range(rng.randint(30, 70))).encode() for _ in range(60)]
-    segments += [segments[0][3:], b"short", segments[1]]
+    segments += [segments[0][3:], b"short", segments[1], b"a" * 50]
     seen = Counter(s[i : i + 20] for s in segments for i in range(len(s) - 19))
     want = [[seen[s[i : i + 20]] > 1 for i in range(max(0, len(s) - 19))] for s in segments]
-    assert [f.tolist() for f in suffix_dedup.repeated_windows(segments, 20)] == want
-    monkeypatch.setattr(suffix_dedup, "_digests", lambda data, pos, length: np.zeros(len(pos), dtype=np.uint64))
-    assert [f.tolist() for f in suffix_dedup.repeated_windows(segments, 20)] == want
-    monkeypatch.undo()
-    monkeypatch.setattr(suffix_dedup, "STRIDE", 64)
-    assert [f.tolist() for f in suffix_dedup.repeated_windows(segments, 20)] == want
+    wide = segments if size == 1 else [np.frombuffer(s, np.uint8).astype("<u8").tobytes() for s in segments]
+    assert [f.tolist() for f in suffix_dedup.repeated_windows(wide, 20, size)] == want
+
+
+@pytest.mark.parametrize("crowd", [2000, 1])
+def test_equal_digests_part_by_content(spark, monkeypatch, crowd):
+    texts = planted(4, 60)
+    monkeypatch.setattr(suffix_dedup, "_digest", lambda data, seed=0: len(data) % 3)
+    got = sorted(tuple(r)[1:5] for r in suffix_dedup.remove_repeats(frame(spark, texts), 40, crowd=crowd).collect())
+    assert got == sorted(brute_repeats(texts, 40))
+
+
+def brute_words(texts, length):
+    """Texts without the words of strings of ``length`` that start twice, with the blanks after them."""
+    import re
+
+    parts = [list(re.finditer(r"[^ \t\n\x0b\x0c\r]+", t or "")) for t in texts]
+    words = [[m[0] for m in p] for p in parts]
+    seen = Counter(tuple(w[s : s + length]) for w in words for s in range(len(w) - length + 1))
+    out = []
+    for t, p, w in zip(texts, parts, words):
+        gone = {k for s in range(len(w) - length + 1) if seen[tuple(w[s : s + length])] > 1 for k in range(s, s + length)}
+        out.append((t or "")[: p[0].start() if p else None] + "".join((t or "")[m.start() : p[k + 1].start() if k + 1 < len(p) else None] for k, m in enumerate(p) if k not in gone))
+    return out
+
+
+def test_passages_are_told_beside_the_cut(spark):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    short, long_ = prose(55), prose(90)
+    texts = [prose(30) + " " + short, short + " " + prose(5), prose(9) + " " + long_, long_, prose(70), None]
+    got = {r.doc_id: (r.n_removed, r.n_passage_words) for r in suffix_dedup.remove_repeats(frame(spark, texts), 500, passage=51).collect()}
+    assert got == {0: (0, 55), 1: (0, 55), 2: (len(long_), 90), 3: (len(long_), 90), 4: (0, 0), 5: (0, 0)}
+
+
+@pytest.mark.parametrize("crowd", [2000, 2])
+def test_repeated_passages_of_words(spark, crowd):
+    rng = random.Random(crowd)
+    prose = lambda n: [rng.choice(["été", "the", "of", "x" * 5000]) if rng.random() < 0.02 else f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [prose(n) for n in (60, 51, 50, 49, 51, 300)]
+    texts = [None, "", " \n ", "one two"]
+    for i in range(90):
+        own, k = prose(rng.randint(0, 150)), i % 9
+        at = rng.randint(0, len(own))
+        if k < 6:
+            own[at:at] = passages[k]
+        texts.append(rng.choice(["", " ", "\n"]) + rng.choice([" ", "\n", "  "]).join(own) + rng.choice(["", "\n"]))
+    got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(frame(spark, texts), 51, True, crowd=crowd).collect()}
+    want = brute_words(texts, 51)
+    assert [got[i] for i in range(len(texts))] == want
+    planted_, clean = [i for i in range(4, 94) if (i - 4) % 9 in (0, 1, 4, 5)], [i for i in range(4, 94) if (i - 4) % 9 in (2, 3, 6, 7, 8)]
+    assert all(got[i] != texts[i] for i in planted_) and all(got[i] == texts[i] for i in clean)
 
 
 def similar_pairs(texts):
     return [(i, j) for i in range(len(texts)) for j in range(i) if simhash.shingle_similarity(texts[i], texts[j]) >= 0.8]
 
 
-@pytest.mark.parametrize("common", [8, 0])
-def test_near_copies_group_whatever_else_is_in_their_buckets(spark, monkeypatch, common):
+def test_alike_pairs_by_matrix():
+    rng = np.random.default_rng(0)
+    part = [np.unique(rng.integers(0, 40, rng.integers(0, 30))).astype("<u8") for _ in range(60)]
+    score = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if len(a) or len(b) else 1.0
+    got = set(zip(*map(list, simhash.alike_pairs(part[:25], part[25:], 0.5, width=7))))
+    assert got == {(i, j) for i in range(25) for j in range(35) if score(part[i], part[25 + j]) >= 0.5} and got
+
+
+@pytest.mark.parametrize("common, crowd", [(8, 256), (0, 256), (1, 2)])
+def test_near_copies_group_whatever_else_is_in_their_buckets(spark, monkeypatch, common, crowd):
     monkeypatch.setattr(simhash, "COMMON", common)
     rng = random.Random(11)
     texts = []
@@ -268,7 +391,7 @@ def test_near_copies_group_whatever_else_is_in_their_buckets(spark, monkeypatch,
     texts += ["same few words here " * n + " ".join(texts[0].split()[:60]) for n in (1, 40)]  # equal sets, other weights
     pairs = similar_pairs(texts)
     assert sum(i % 3 == 2 and j == i - 1 for i, j in pairs) > 10 and (91, 90) in pairs
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, texts)).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, texts), crowd=crowd).collect()}
     fps = [simhash.fingerprint(t) for t in texts]
     near = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
     assert [got[i] for i in range(len(texts))] == unite(len(texts), pairs + near)
@@ -282,3 +405,29 @@ def test_near_copies_group_though_no_key_of_theirs_is_equal(spark, monkeypatch):
     texts = [" ".join(words), " ".join(near), " ".join(words[::-1])]
     assert similar_pairs(texts) == [(1, 0)]
     assert {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, texts)).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+@pytest.mark.parametrize("crowd", [256, 20])
+def test_a_crowd_of_near_copies_around_the_threshold(spark, crowd):
+    """One text with edits at random: some pairs are just alike, some just not."""
+    rng = random.Random(8)
+    first = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        copy = list(first)
+        for k in rng.sample(range(150), rng.choice([1, 2, 3, 4, 5])):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy[: rng.choice([150, 150, 140, 100])]))
+    texts += [" ".join(f"v{rng.randrange(10**6)}" for _ in range(100)) for _ in range(20)]
+    pairs = similar_pairs(texts)
+    assert 300 < len(pairs) < 6000
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, texts), crowd=crowd).collect()}
+    assert [got[i] for i in range(len(texts))] == unite(len(texts), pairs)
+
+
+def test_near_copies_of_other_ids(spark):
+    same = spark.createDataFrame([(3, "a b c d e f"), (5, "a b c d e f"), (5, "other words"), (None, "a b c d e f")], "doc_id int, text string")
+    got = sorted(map(tuple, simhash.near_duplicate_groups(same).collect()), key=str)
+    assert got == [(3, 3), (5, 3), (5, 3), (None, None)]
+    with pytest.raises(TypeError):
+        simhash.near_duplicate_groups(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

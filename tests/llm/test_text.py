@@ -1,5 +1,6 @@
 """Tokenizers, packing and page extraction."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -73,10 +74,9 @@ def test_pieces_equal_the_library_and_cover_the_text(pieces, text):
     assert e.ids == ids and mine.decode(ids) == library.decode(ids)
     raw = text.encode()
     assert b"".join(raw[a:z] for a, z in zip(e.begins, e.ends)) == raw
-    n, packed, decoded = mine.digests(text)
+    n, packed, decoded, ends = mine.digests(text)
+    assert ends.tolist() == e.ends
     assert n == len(ids)
-    import hashlib
-
     assert packed == hashlib.sha256(struct.pack(f"<{n}I", *ids)).hexdigest() and decoded == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
@@ -112,8 +112,24 @@ def test_piece_frames(spark, pieces):
         assert r.ids == library.encode(ODD[r.doc_id] or "", add_bos=True, add_eos=True)
     back = {r.doc_id: r.text for r in sentencepieces.decode_ids(spans, path).collect()}
     assert back == {i: library.decode(library.encode(t or "")) for i, t in enumerate(ODD)}
-    got = {r.doc_id: r.n_tokens for r in sentencepieces.round_trip_digests(df, path).collect()}
-    assert got == {i: len(library.encode(t or "")) + 2 for i, t in enumerate(ODD)}
+    ends = {r.doc_id: r.ends for r in spans.collect()}
+    for r in sentencepieces.round_trip_digests(df, path).collect():
+        ids = library.encode(ODD[r.doc_id] or "", add_bos=True, add_eos=True)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest() and r.ends == ends[r.doc_id]
+
+
+@pytest.mark.parametrize("text", [t for t in ODD if t] + ["▁ a▁▁b ▁", "  é\U0001f600 x ", "tab\there\n\n new", "ab" * 500])
+def test_spans_equal_the_library(pieces, text):
+    found = pieces[1].encode(text, return_type="proto").pieces
+    want = [(p.id, p.begin, p.end) for p in found]
+    e = pieces[0].encode(text, bos=False, eos=False)
+    assert list(zip(e.ids, e.begins, e.ends)) == want
+
+
+def test_digests_of_nothing(spark):
+    path = P.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, ids string")
     assert sentencepieces.round_trip_digests(df.limit(0), path).collect() == []
 
 
@@ -251,3 +267,87 @@ def test_lines_beside_an_article_stay_unless_shared(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     text = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
     assert text == {i: f"story {i}\nteaser" if i < 6 else f"teaser\nstory {i}" for i in range(12)}
+
+
+def brute_texts(rows):
+    """Each page against its nearest neighbour by URL path, page by page."""
+    import re
+
+    found = {}
+    for i, url, html in rows:
+        m = re.match(r"(?:\w+://([^/?#]*))?([^?#]*)", url or "")
+        lines = html_text.page_lines(html)
+        found.setdefault((m[1] or "").lower(), {}).setdefault(tuple(lines), []).append((m[2], i))
+    out = {}
+    for pages in found.values():
+        order = sorted((min(where), lines) for lines, where in pages.items())
+        for k, ((path, _), lines) in enumerate(order):
+            best, shared = -1, []
+            outside = [t for t, main in lines if not main]
+            for (other, _), theirs in order[k + 1 : k + 2] + order[max(0, k - 1) : k]:
+                alike = 0
+                while path.split("/")[alike : alike + 1] == other.split("/")[alike : alike + 1] != []:
+                    alike += 1
+                if alike > best:
+                    best, shared = alike, html_text.common_lines(outside, [t for t, main in theirs if not main])
+            keep = [t for n, t in enumerate(outside) if n not in set(shared)]
+            text, at = [], 0
+            for t, main in lines:
+                if main:
+                    text.append(t)
+                else:
+                    if at not in shared:
+                        text.append(t)
+                    at += 1
+            assert [t for t in text if t in keep] or not keep
+            for _, i in pages[lines]:
+                out[i] = "\n".join(text)
+    return out
+
+
+def test_pages_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        host, section = f"h{rng.randrange(4)}.x", rng.choice("abc")
+        top = "".join(f"<p>top {k} of {host}</p>" for k in range(rng.randrange(3)))
+        end = "".join(f"<div>end {k} of {section}</div>" for k in range(rng.randrange(4)))
+        body = "".join(f"<p>line {rng.randrange(400)}</p>" for _ in range(rng.randrange(6)))
+        html = top + (f"<article>{body}</article>" if rng.random() < 0.4 else body) + end
+        rows.append((i, f"https://{host}/{section}/{rng.randrange(30)}?q={i}" if i % 17 else None, html if i % 23 else None))
+    rows += [(200 + i, f"https://h0.x/a/{i}", rows[5][2]) for i in range(20)]  # copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_text.extract_text(df, parts=3).collect()}
+    want = brute_texts(rows)
+    assert got == want
+    plain = {i: "\n".join(t for t, _ in html_text.page_lines(h)) for i, _, h in rows}
+    assert sum(got[i] != plain[i] for i in got) > 40  # differencing decides
+
+
+def test_long_and_deep_pages_end_soon():
+    import time
+
+    began = time.time()
+    deep = "<div><b>" * 50_000 + "x" + "</i>" * 50_000
+    assert html_text.page_lines(deep) == [("x", False)]
+    assert len(html_text.page_lines("<p>word word" * 100_000)) == 100_000
+    assert html_text.page_lines("<header><b>site</b><h1>Title <i>here</i></h1>rest</header><article><header>by me<h2>Sub</h2></header>text</article>") == [("Sub", True), ("text", True)]
+    assert time.time() - began < 30
+
+
+def test_texts_of_many_megabytes(spark, words, pieces):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdéf") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(vocab) for _ in range(600_000))
+    assert len(text.encode()) > 3_000_000
+    df = spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string")
+    library = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, P.path("byte_bpe_50k.json")).collect()}
+    assert got[1] == len(library.encode(text, add_special_tokens=False).ids)
+    n = len(words.whole(text)) // 4 + 1
+    rows = [r for r in packing.pack_documents(df, P.path("word_bpe_49k.json")).collect() if r.doc_id == 1]
+    assert sum(r.length for r in rows) == n and max(r.length for r in rows) == 2048 and len(rows) == -(-n // 2048)
+    one = next(r for r in sentencepieces.round_trip_digests(df, P.path("piece_bpe_32k.model")).collect() if r.doc_id == 1)
+    assert one.n_tokens == len(pieces[1].encode(text)) + 2 and one.ends[-1] == len(text.encode())
