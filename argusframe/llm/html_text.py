@@ -1,9 +1,16 @@
-"""Main text of web pages: blocks by markup, and lines that a page shares with its nearest neighbour by URL."""
+"""Main text of web pages: lines that a page shares with its nearest neighbour by URL go, and so do, by markup, parts
+that differ from page to page without being the article's.
+
+Differencing needs a template that repeats. Where a menu, advert or footer is another one on each page, only markup
+tells it; where a page marks its article, what articles have in common (a licence, an opening line) is their own. So
+the article's lines stay as they are, and of all others those go that the neighbour has too.
+"""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -11,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, stored
+from ._common import bounded_batches, join_weighted, lasting, stored, temporary, tidy
 
 # Elements by what they mean in HTML.
 BLOCKS = frozenset(
@@ -24,7 +31,8 @@ RAW = frozenset("script style template noscript iframe textarea title svg math o
 LEFT_OUT = RAW | frozenset("head nav footer aside form button select option datalist dialog menu label input search".split())
 ENDS_P = BLOCKS - {"body", "html", "head"}
 
-# Words of class, id and role attributes that mark what is no article.
+# Words of class, id and role attributes that mark what is no article: fixed by custom, and all that tells a part of
+# this kind where it is another one on each page.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner promo promoted promotion sponsor sponsored "
     "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc footer masthead topbar "
@@ -69,7 +77,8 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
     end with the element around them, a cut tag at the end of the page counts as closed.
     """
     out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, left out, in main, in a header
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, left out, in main, in a header and in no heading of it
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
     text = html or ""
 
@@ -83,16 +92,27 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
     def close(at: int) -> None:
         if any(s[0] in BLOCKS for s in stack[at:]):
             flush()
+        opened.subtract(s[0] for s in stack[at:])
         del stack[at:]
 
+    def close_open(names, within=True) -> bool:
+        """Closes the innermost open element of these names; ``within``: that no sectioning element holds."""
+        if any(opened[n] for n in names):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in names:
+                    close(i)
+                    return True
+                if within and stack[i][0] in SCOPES:
+                    break
+        return False
+
     at = 0
     size = len(text)
     while at < size:
         m = TOKEN.search(text, at)
         stop = m.start() if m else size
         if stop > at:
-            off = stack and stack[-1][1]
-            if not off and not (stack and stack[-1][3] and not any(s[0] in HEADINGS for s in stack)):
+            if not stack or not stack[-1][1] and not stack[-1][3]:
                 buffer.append(text[at:stop])
         if not m:
             break
@@ -101,15 +121,8 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
         if name is None:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES and name not in SCOPES:
-                    break
-            else:
-                if name in BLOCKS:
-                    flush()
+            if not close_open({name}, name not in SCOPES) and name in BLOCKS:
+                flush()
             continue
         if name == "br":
             buffer.append(" ")
@@ -120,25 +133,16 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
             continue
         if name in ENDS_P:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+            close_open({"p"})
         if name in SELF_ENDING:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SELF_ENDING[name]:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+            close_open(SELF_ENDING[name])
         if name in VOID or m[3].endswith("/"):
             continue
         up = stack[-1] if stack else ("", False, False, False)
         inside = up[2] or name in ("article", "main") or "main" in m[3] and bool(re.search(r"role\s*=\s*[\"']?main", m[3]))
         off = up[1] or name in LEFT_OUT or name == "header" and not up[2] or name not in ("html", "body", "article", "main") and _marked(m[3])
-        stack.append((name, off, inside, up[3] or name == "header"))
+        stack.append((name, off, inside, (up[3] or name == "header") and name not in HEADINGS))
+        opened[name] += 1
     flush()
     return out
 
@@ -172,18 +176,6 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-COPY = 0.8  # a neighbour that shares more of a page's lines is taken for a copy of it, not for its template
-
-
-def shared_lines(lines: list[int], neighbour: list[int], marked: bool = False) -> list[int]:
-    """Places of the lines that go, as the neighbour has them too; none where the two are copies.
-
-    Where the page has its article ``marked``, the lines are those around it, which may all be the template's.
-    """
-    found = common_lines(lines, neighbour)
-    return [] if len(found) > COPY * len(lines) and not marked else found
-
-
 def main_text(lines: list[tuple[str, bool]], shared: list[int]) -> str:
     """The article's text. ``shared`` counts the lines outside of ``article`` and ``main`` elements.
 
@@ -198,64 +190,44 @@ def main_text(lines: list[tuple[str, bool]], shared: list[int]) -> str:
     return "\n".join(out)
 
 
-def extract_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parts: int | None = None
-) -> DataFrame:
-    """One row a row of ``pages``: ``<id_col>, <url_col>, text, n_chars``.
-
-    Pages are sorted by host, URL path, and id; each is compared with that of its two neighbours on the host
-    whose path begins like its own for longer (the next one on ties), line by line. The sort is a range
-    partitioning over all pages, so the largest host is spread over many tasks; neighbours across a
-    partition's boundary are found from the partitions' first and last places. Only lines' hashes are
-    moved for it, the texts come from a second look at the pages. Null html, or html without text, gives
-    the empty text; null urls are one host. Rows may repeat ids and urls. Other columns are not read.
-    """
-    kind, spark = pages.schema[id_col].dataType.simpleString(), pages.sparkSession
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    rows = bounded_batches(pages).select(
-        F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(url, F.col(html_col)).alias("mark"),
-        F.lower(F.regexp_extract(url, r"^\w+://([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:\w+://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.col(html_col).alias("html"),
-    )
+def _shared_with_neighbours(rows: DataFrame, parts: int | None) -> DataFrame:
+    """``(id, mark, gone)``: of ``rows(id, mark, host, path, html)`` those that share lines with their neighbour, and which."""
+    kind, spark = rows.schema["id"].dataType.simpleString(), rows.sparkSession
 
     def look(batches):
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             found = [page_lines(h) for h in b.column(4).to_pylist()]
             hashes = [[digest(t) - (1 << 63) for t, main in lines if not main] for lines in found]
-            marked = [any(main for _, main in lines) for lines in found]
+            whole = [digest("\n".join(f"{int(main)}{t}" for t, main in lines)) - (1 << 63) for lines in found]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in range(4)), pa.array(hashes, pa.list_(pa.int64())), pa.array(marked, pa.bool_())],
-                ["id", "mark", "host", "path", "lines", "marked"],
+                [*(b.column(k) for k in range(4)), pa.array(hashes, pa.list_(pa.int64())), pa.array(whole, pa.int64())],
+                ["id", "mark", "host", "path", "lines", "whole"],
             )
 
-    slim = rows.select("id", "mark", "host", "path", "html").mapInArrow(
-        look, f"id {kind}, mark long, host string, path string, lines array<long>, marked boolean"
-    )
+    slim = rows.select("id", "mark", "host", "path", "html").mapInArrow(tidy(look), f"id {kind}, mark long, host string, path string, lines array<long>, whole long")
     slim = stored(slim, "page-lines")
-    # a page without lines outside its article has nothing to compare, but may be a neighbour
+    # a page without lines outside its article has nothing to compare, but is a neighbour
+    one = slim.groupBy("host", "whole", "lines").agg(F.min(F.struct("path", "id", "mark")).alias("one"), F.count("*").alias("rows"))
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranked = (
-        slim.repartitionByRange(parts, "host", "path", "id", "mark").sortWithinPartitions("host", "path", "id", "mark")
-        .withColumn("place", F.monotonically_increasing_id())
-    )
-    ranked = stored(ranked, "page-order")
+    order = ["host", "path", "one.id", "one.mark"]
+    ranked = one.select("host", "whole", "lines", "one", "rows", "one.path").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranked = stored(ranked.withColumn("place", F.monotonically_increasing_id()).select("place", "host", "path", "whole", "lines", "rows"), "page-order")
     ends = ranked.groupBy(F.shiftright("place", 33).alias("part")).agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
     bounds = sorted((r["lo"], r["hi"]) for r in ends.collect())  # a row a partition
     leaps = spark.createDataFrame([(a[1], b[0]) for a, b in zip(bounds, bounds[1:])], "place long, leap long")
     after = ranked.join(F.broadcast(leaps), "place", "left").withColumn("next", F.coalesce("leap", F.col("place") + 1))
-    right = ranked.select(F.col("place").alias("next"), *[F.col(c).alias(f"{c}2") for c in ("id", "mark", "host", "path", "lines", "marked")])
-    pairs = after.select("place", "next", "id", "mark", "host", "path", "lines", "marked").join(right, "next").where("host = host2")
-    sides = F.array(
-        F.struct(F.col("id"), F.col("mark"), F.col("path"), F.col("lines"), F.col("path2").alias("path2"), F.col("lines2").alias("lines2"), F.lit(0).alias("back"), F.col("marked")),
-        F.struct(F.col("id2").alias("id"), F.col("mark2").alias("mark"), F.col("path2").alias("path"), F.col("lines2").alias("lines"), F.col("path").alias("path2"), F.col("lines").alias("lines2"), F.lit(1).alias("back"), F.col("marked2").alias("marked")),
+    right = ranked.select(F.col("place").alias("next"), *[F.col(c).alias(f"{c}2") for c in ("host", "path", "lines")])
+    pairs = after.join(right, "next").where("host = host2")
+    side = lambda own, other, at, back: F.struct(
+        F.col(at).alias("at"), F.col(f"path{own}").alias("path"), F.col(f"lines{own}").alias("lines"),
+        F.col(f"path{other}").alias("path2"), F.col(f"lines{other}").alias("lines2"), F.lit(back).alias("back"),
     )
-    sides = pairs.select("place", F.explode(sides).alias("s")).select("place", "s.*")
+    sides = pairs.select(F.explode(F.array(side("", "2", "place", 0), side("2", "", "next", 1))).alias("s")).select("s.*")
 
     def compare(batches):
         for b in batches:
-            path, path2, lines, lines2 = (b.column(k).to_pylist() for k in (3, 5, 4, 6))
+            path, lines, path2, lines2 = (b.column(k).to_pylist() for k in range(1, 5))
             alike = []
             for p, q in zip(path, path2):
                 n = 0
@@ -264,18 +236,43 @@ def extract_text(
                         break
                     n += 1
                 alike.append(n)
-            gone = [shared_lines(x or [], y or [], m) for x, y, m in zip(lines, lines2, b.column(8).to_pylist())]
+            gone = [common_lines(x, y) for x, y in zip(lines, lines2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(alike, pa.int32()), b.column(7), pa.array(gone, pa.list_(pa.int32()))],
-                ["place", "id", "mark", "alike", "back", "gone"],
+                [b.column(0), pa.array(alike, pa.int32()), b.column(5), pa.array(gone, pa.list_(pa.int32()))], ["at", "alike", "back", "gone"]
             )
 
-    judged = sides.where("size(lines) > 0").mapInArrow(
-        compare, f"place long, id {kind}, mark long, alike int, back int, gone array<int>"
+    judged = sides.where("size(lines) > 0").mapInArrow(tidy(compare), "at long, alike int, back int, gone array<int>")
+    chosen = judged.groupBy("at").agg(F.max_by("gone", F.struct("alike", -F.col("back"))).alias("gone")).where("size(gone) > 0")
+    chosen = stored(ranked.join(chosen.withColumnRenamed("at", "place"), "place").select("host", "whole", "lines", "rows", "gone"), "page-shared")
+    return join_weighted(slim, chosen, ["host", "whole", "lines"], "rows").select("id", "mark", "gone").distinct()
+
+
+def extract_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parts: int | None = None
+) -> DataFrame:
+    """One row a row of ``pages``: ``<id_col>, <url_col>, text, n_chars``.
+
+    Pages are sorted by host, URL path, and id; each is compared with that of its two neighbours on the host
+    whose path begins like its own for longer (the next one on ties), line by line. Pages of a host whose lines are all
+    equal are one page, at the least of their places, so a copy is no neighbour. The sort is a range
+    partitioning over all pages, so the largest host is spread over many tasks; neighbours across a
+    partition's boundary are found from the partitions' first and last places. Only lines' hashes are
+    moved for it, the texts come from a second look at the pages. Null html, or html without text, gives
+    the empty text; null urls are one host. Rows may repeat ids and urls; an empty table gives none. A page
+    without an article keeps of its lines those that its neighbour lacks, all if it has no neighbour. Other
+    columns are not read.
+    """
+    kind, spark = pages.schema[id_col].dataType.simpleString(), pages.sparkSession
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    rows = bounded_batches(pages).select(
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(url, F.col(html_col)).alias("mark"),
+        F.lower(F.regexp_extract(url, r"^\w+://([^/?#]*)", 1)).alias("host"),
+        F.regexp_extract(url, r"^(?:\w+://[^/?#]*)?([^?#]*)", 1).alias("path"),
+        F.col(html_col).alias("html"),
     )
-    chosen = judged.groupBy("id", "mark").agg(
-        F.max_by("gone", F.struct("alike", (-F.col("back")).alias("b"), (-F.col("place")).alias("p"))).alias("gone")
-    ).where("size(gone) > 0")
+
+    with temporary(spark):
+        gone = lasting(_shared_with_neighbours(rows, parts), "page-gone")
 
     def write(batches):
         for b in batches:
@@ -286,7 +283,7 @@ def extract_text(
             )
 
     joined = rows.alias("r").join(
-        chosen.alias("c"), F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col("r.mark") == F.col("c.mark")), "left"
+        gone.alias("c"), F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col("r.mark") == F.col("c.mark")), "left"
     ).select("r.id", "r.url", "html", "gone")
-    out = joined.mapInArrow(write, f"id {kind}, url string, text string, n_chars long")
+    out = joined.mapInArrow(tidy(write), f"id {kind}, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
