@@ -8,11 +8,12 @@ import re
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered, bounded_batches
+from ._common import Remembered, bounded_batches, tidy
 
 SPACE = "▁"  # fixed: the symbol that stands for a space
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed: piece types of the model file
@@ -66,7 +67,8 @@ class Encoding:
 
 
 class SpanEncoder(Remembered):
-    """Encoder and decoder of one model file; as a dict, normalised segment -> (packed ids, what they spell)."""
+    """Encoder and decoder of one model file; as a dict, normalised segment -> (packed ids, what they spell, packed
+    numbers of the normalised bytes that each stands for, and of the original bytes where no character is mapped)."""
 
     def __init__(self, path: str):
         super().__init__(CACHE)
@@ -213,65 +215,72 @@ class SpanEncoder(Remembered):
                 out.append(self.unk)
         return out
 
-    def make(self, segment: str) -> tuple[bytes, bytes]:
+    def make(self, segment: str) -> tuple[bytes, bytes, bytes, bytes]:
         ids = self.ids_of(segment)
-        return struct.pack(f"<{len(ids)}I", *ids), self.surface(ids)
+        lengths, plain = self._lengths(ids, segment)
+        form = f"<{len(ids)}I"
+        return struct.pack(form, *ids), self.surface(ids), struct.pack(form, *lengths), struct.pack(form, *plain)
 
-    def _lengths(self, segment: str) -> tuple[tuple[int, ...], list[int]]:
-        """Ids of a segment and how many normalised bytes each stands for."""
-        packed = self[segment][0]
-        ids, lengths, data, at = struct.unpack(f"<{len(packed) // 4}I", packed), [], segment.encode(), 0
+    def _lengths(self, ids: list[int], segment: str) -> tuple[list[int], list[int]]:
+        """How many bytes of a segment each of its ids stands for, and how many where a space symbol is one byte."""
+        lengths, plain, data, at = [], [], segment.encode(), 0
         pending = 0  # bytes of a character that are still to come
         for i in ids:
+            spaces = 0
             if i in self.of_byte:
                 if not pending:
                     c = data[at]
                     width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
                     pending = width
                 pending -= 1
-                lengths.append(0 if pending else width)  # the last byte stands for the character
+                n = 0 if pending else width  # the last byte stands for the character
             elif i == self.unk:
                 c = data[at]
-                lengths.append(1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
+                n = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
             else:
-                lengths.append(len(self.pieces[i][0].encode()))
-            at += lengths[-1]
-        return ids, lengths
+                n, spaces = len(self.pieces[i][0].encode()), self.pieces[i][0].count(SPACE)
+            at += n
+            lengths.append(n)
+            plain.append(n - 2 * spaces)
+        return lengths, plain
 
     def encode(self, text: str | None, bos: bool = True, eos: bool = True) -> Encoding:
         """Ids and spans. Begin and end ids stand for no bytes; so do all but the last byte of a character
         that falls back to bytes, and the dummy prefix."""
         self.turn()
-        norm, origin = self.normalise(text or "")
-        out = Encoding()
-        if bos:
-            out.ids.append(self.bos), out.begins.append(0), out.ends.append(0)
+        found, ends = self._aligned(text or "")
+        packed = b"".join([f[0] for f in found])
+        ids, ends = list(struct.unpack(f"<{len(packed) // 4}I", packed)), ends.tolist()
+        begins, n = [0, *ends[:-1]][: len(ends)], len((text or "").encode())
+        return Encoding(
+            [self.bos] * bos + ids + [self.eos] * eos, [0] * bos + begins + [n] * eos, [0] * bos + ends + [n] * eos
+        )
+
+    def _aligned(self, text: str) -> tuple[list[tuple], np.ndarray]:
+        """What each segment of a text is, and the original byte that each id's span ends at; it begins where the last ended."""
+        norm, origin = self.normalise(text)
+        found = list(map(self.__getitem__, self.segments(norm)))
+        if origin is None and SPACE not in text:
+            ends = np.cumsum(np.frombuffer(b"".join([f[3] for f in found]), dtype="<u4"), dtype=np.int64)
+            return found, np.maximum(ends - 1, 0) if self.prefix else ends  # the first space was put there
         if origin is None:
-            origin = []
+            origin, at = [], 0
             for i, c in enumerate(norm):
                 w = len(c.encode())
-                at = origin[-1] + step if i else 0  # noqa: F821
-                step = 0 if i == 0 and self.prefix else (1 if c == SPACE and text[i - self.prefix] == " " else w)
                 origin += [at] * w
-            origin.append(len(text.encode()))
-        at = 0
-        for segment in self.segments(norm):
-            for i, n in zip(*self._lengths(segment)):
-                out.ids.append(i)
-                out.begins.append(origin[at])
-                out.ends.append(origin[at + n])
-                at += n
-        if eos:
-            n = len((text or "").encode())
-            out.ids.append(self.eos), out.begins.append(n), out.ends.append(n)
-        return out
+                at += 0 if i == 0 and self.prefix else 1 if c == SPACE and text[i - self.prefix] == " " else w
+            origin.append(at)
+        at = np.cumsum(np.frombuffer(b"".join([f[2] for f in found]), dtype="<u4"), dtype=np.int64)
+        return found, np.array(origin, dtype=np.int64)[at]
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids and of the decoded text, from the segments' packed forms."""
+    def digests(self, text: str | None) -> tuple[int, str, str, np.ndarray]:
+        """Number of ids, SHA-256 of the ids and of the decoded text, and the spans' ends, begin and end ids included."""
         self.turn()
-        found = list(map(self.__getitem__, self.segments(self.normalise(text or "")[0])))
+        found, ends = self._aligned(text or "")
         packed = b"".join([struct.pack("<I", self.bos), *[f[0] for f in found], struct.pack("<I", self.eos)])
-        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(self._finish(b"".join([f[1] for f in found]))).hexdigest()
+        decoded = self._finish(b"".join([f[1] for f in found]))
+        ends = np.concatenate([[0], ends, [len((text or "").encode())]])
+        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest(), ends
 
     # -- decoding ------------------------------------------------------------------------------------
 
@@ -326,7 +335,7 @@ def _worker(model: str) -> SpanEncoder:
 def _mapped(docs: DataFrame, id_col: str, text_col: str, each, schema: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(each, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(each), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def encode_spans(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
@@ -358,20 +367,26 @@ def decode_ids(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col:
 
 
 def round_trip_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``<id_col>, n_tokens, ids_sha256, decoded_sha256``, begin and end ids included.
+    """One row a document: ``<id_col>, n_tokens, ids_sha256, decoded_sha256, ends``, begin and end ids included.
 
-    Null text counts as empty (two ids). Null ids of documents and repeated rows pass through; other
-    columns are neither read nor returned.
+    ``ends`` has for each id the UTF-8 byte of the original text that its span ends at; it begins where the span
+    before ended, the first at 0. Null text counts as empty (two ids). Null ids of documents and repeated rows pass
+    through, an empty table gives none; other columns are neither read nor returned.
     """
 
     def run(batches):
         encoder = _worker(model)
         for b in batches:
             found = [encoder.digests(t) for t in b.column(1).to_pylist()]
-            n, ids, decoded = zip(*found) if found else ((), (), ())
+            n, ids, decoded, ends = zip(*found) if found else ((), (), (), ())
+            flat = np.concatenate(ends).astype(np.int32) if ends else np.zeros(0, np.int32)
+            offsets = np.cumsum([0, *n], dtype=np.int64).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [
+                    b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                ],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ends"],
             )
 
-    return _mapped(docs, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(docs, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string, ends array<int>")
