@@ -11,17 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, tidy
 from ._labels import held_out, training_sample
 
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
-FAINT = 0.1
 BLOCK = 256  # tokens in a row of the blocked recursions
 CACHE = 600_000  # words whose emission one Python worker remembers
 CHUNK = 1 << 20  # tokens worked on at once, at document ends
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, each in lower case; a few letters get longer by that, so those texts are cut first."""
+    text = text or ""
+    low = text.lower()
+    return WORDS.findall(low) if len(low) == len(text) else [w.lower() for w in WORDS.findall(text)]
+
+
 def word_features(word: str) -> list[str]:
     """The word itself and its beginnings; a word shorter than a beginning has none of that length."""
     return ["=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
@@ -241,14 +247,15 @@ def fit_field(
 def document_features(one: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A row a document: 1, log1p of its expected number of toxic tokens, its largest marginal.
 
-    Marginals under ``FAINT`` aren't summed: in a long text, those of its many clean words would add up.
+    A token counts by its marginal's fourth power, the chance that four looks all call it toxic: all are summed, but
+    the faint marginals of a long text's many clean words don't add up.
     """
     x = np.zeros((len(lengths), 3))
     x[:, 0] = 1
     some = np.flatnonzero(lengths)
     if len(some):
         at = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
-        x[some, 1] = np.log1p(np.add.reduceat(np.where(one >= FAINT, one, 0.0), at))
+        x[some, 1] = np.log1p(np.add.reduceat(one**4, at))
         x[some, 2] = np.maximum.reduceat(one, at)
     return x
 
@@ -289,7 +296,7 @@ class Tagger(dict):
         for text in texts:
             if len(self) > CACHE:
                 self.clear()
-            words = WORDS.findall(text.lower()) if text else []
+            words = words_of(text)
             waiting.append(np.fromiter(map(self.__getitem__, words), dtype=float, count=len(words)))
             if sum(map(len, waiting[-1:])) >= CHUNK or len(waiting) >= 512:
                 out += self._flush(waiting)
@@ -318,10 +325,9 @@ class Tagger(dict):
         out: list[tuple[int, int]] = []
         if not (one >= level).any():
             return out
-        low = text.lower()
-        at = low if len(low) == len(text) else text
         last = -2
-        for i, (m, p) in enumerate(zip(WORDS.finditer(at), one)):
+        low = text.lower()
+        for i, (m, p) in enumerate(zip(WORDS.finditer(low if len(low) == len(text) else text), one)):
             if p >= level:
                 if last == i - 1:
                     out[-1] = (out[-1][0], m.end())
@@ -331,10 +337,12 @@ class Tagger(dict):
         return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on at most ``per_class`` labelled documents of each class, none of them held out."""
-    sample, _ = training_sample(docs, labels, "toxic", per_class, id_col, text_col)
-    return fit_field([WORDS.findall(t.lower()) for t, _ in sample], [y for _, y in sample])
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 1 << 24
+) -> Field:
+    """Fit on at most ``per_class`` labelled documents and ``most_bytes`` of text of each class, none of them held out."""
+    sample, _ = training_sample(docs, labels, "toxic", per_class, id_col, text_col, most_bytes)
+    return fit_field([words_of(t) for t, _ in sample], [y for _, y in sample])
 
 
 def toxicity(
@@ -344,7 +352,8 @@ def toxicity(
 
     ``score`` is calibrated from the marginals of all words of the text; ``predicted`` is 1 from 0.5 on.
     ``spans`` holds the character offsets of the runs of words tagged toxic. Null text counts as empty,
-    which has the score of a text without any toxic word. Other columns are neither read nor returned.
+    which has the score of a text without any toxic word. Rows may repeat ids or have none, equal texts score
+    alike; an empty table gives none. Other columns are neither read nor returned.
     """
     field = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, per_class, id_col, text_col))
 
@@ -365,7 +374,7 @@ def toxicity(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, f"id {kind}, score double, n_toxic_tokens long, spans array<struct<begin:int,end:int>>")
+    scored = rows.mapInArrow(tidy(run), f"id {kind}, score double, n_toxic_tokens long, spans array<struct<begin:int,end:int>>")
     return scored.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic_tokens", "spans",
