@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered, bounded_batches
+from ._common import Remembered, bounded_batches, tidy
 
 # Fixed values of byte-level BPE: the pre-token pattern, and the bytes that stand for themselves.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -168,5 +168,5 @@ def count_tokens(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = rows.mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
