@@ -36,7 +36,7 @@ BLANKS = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 GRAM = 8
 PARTS = 8  # that a crowded class's range is cut in
 TOGETHER = 2000  # segments that are sorted in one go, and as many more as the last class has
-CHUNK = 1 << 22  # bytes of documents looked at in one go (a longer document is taken alone)
+CHUNK = 1 << 20  # bytes of documents looked at in one go (a longer document is taken alone)
 PLACE_BITS = 24  # of a position in the packed minima; longer documents are taken in overlapping parts
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 LONG_WORD = 1 << 12  # bytes; longer words are hashed one by one
@@ -365,7 +365,7 @@ def _refined(crowded: DataFrame, length: int, size: int, crowd: int, farthest: i
     extreme. Each round cuts that range in eight, which leaves a piece an eighth of the windows or so and makes the
     letters that its class shares longer; at a range of one, they are the whole window, and nothing is left to compare.
     """
-    spark, spans, pools = crowded.sparkSession, None, []
+    spans, pools = None, []
     level = crowded.select("id", "mark", "n", "first", "more", "at", "segment", F.lit(0).alias("lo"), F.lit(farthest).alias("hi"))
     kinds_ = {f.name: f.dataType.simpleString() for f in level.schema}
     shape = ", ".join(f"{c} {k}" for c, k in kinds_.items()) + ", key long, whole long"
@@ -465,7 +465,8 @@ def _sorted(pool: DataFrame, length: int, size: int, lead: int, per_bucket: int)
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, words: bool = False, id_col: str = "doc_id", text_col: str = "text", crowd: int = 2000, passage: int | None = None
+    docs: DataFrame, length: int = 400, words: bool = False, id_col: str = "doc_id", text_col: str = "text", crowd: int = 2000,
+    passage: int | None = None, texts: bool = True,
 ) -> DataFrame:
     """One row a row of ``docs``: ``<id_col>, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` (binary).
 
@@ -473,17 +474,18 @@ def remove_repeats(
     another, are cut; strings are judged on the input. With ``words``, strings are of ``length`` words, parted
     by the ASCII blanks, whichever these are; a cut then takes the blanks after its last word along. Words are told
     apart by 64-bit digests. Null text counts as empty; texts shorter than ``length`` are whole. Rows that
-    repeat a text lose it all (if long enough), whatever their ids. ``kept_text`` are the remaining bytes: a
-    cut may fall inside a character. With ``passage``, a last column ``n_passage_words`` says how many words lie in strings of
+    repeat a text lose it all (if long enough), whatever their ids. ``kept_text`` are the remaining bytes, null
+    without ``texts``: a cut may fall inside a character. With ``passage``, a last column ``n_passage_words`` says how many words lie in strings of
     so many words that also start elsewhere; they are only told, not cut. Other columns are neither read nor
     returned, an empty table gives none.
     """
-    out = _cut(docs, length, words, id_col, text_col, crowd, (), passage).withColumnRenamed("id", id_col)
+    out = _cut(docs, length, words, id_col, text_col, crowd, (), passage, texts).withColumnRenamed("id", id_col)
     return out if passage else out.drop("n_passage_words")
 
 
 def _cut(
-    docs: DataFrame, length: int, words: bool, id_col: str, text_col: str, crowd: int, extra: tuple[str, ...], passage: int | None = None
+    docs: DataFrame, length: int, words: bool, id_col: str, text_col: str, crowd: int, extra: tuple[str, ...], passage: int | None = None,
+    texts: bool = True,
 ) -> DataFrame:
     """What ``remove_repeats`` returns, the id as ``id``, and the columns ``extra`` as ``x0, x1, ..``."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -518,7 +520,7 @@ def _cut(
                 removed.append(len(data) - len(rest))
                 n_spans.append(len(runs))
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                kept.append(rest if texts else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()),
