@@ -39,7 +39,8 @@ def training_sample(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen = spark.createDataFrame([(r["id"], r["y"], i) for i, r in enumerate(picked)], f"id {kind}, y int, place int")
     # at most 2 * per_class rows of ids, and what they are in the documents: sizes now, texts of those that fit later
-    found = rows.join(F.broadcast(chosen), "id").select("place", "y", F.octet_length("text").alias("size"), F.xxhash64("text").alias("mark")).distinct().orderBy("place", "mark").limit(4 * per_class).collect()
+    looks = rows.join(F.broadcast(chosen), "id").select("place", "y", F.octet_length("text").alias("size"), F.xxhash64("text").alias("mark"))
+    found = looks.distinct().orderBy("place", "mark").limit(4 * per_class).collect()
     fits, used = [], {0: 0, 1: 0}
     for r in found:
         if used[r["y"]] + r["size"] <= most_bytes:

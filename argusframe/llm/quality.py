@@ -109,7 +109,8 @@ def cut_at_quantile(model: Ranking, strengths: DataFrame) -> Ranking:
     """``model`` with its cut: a quantile of ``strengths(strength)``, those of all documents.
 
     The labels tell the level but for its margin. Of the levels within it, that one is taken whose strength parts the
-    labelled sample best and, of several, the one before the widest gap to the next; the cut is in the middle of the gap. Quantiles are approximate to a hundredth of a per cent in rank, from one distributed pass.
+    labelled sample best and, of several, the one before the widest gap to the next; the cut is in the middle of the gap.
+    Quantiles are approximate to a hundredth of a per cent in rank, from one distributed pass.
     Without documents the cut is 0; without one of the classes, all documents are kept (no class 0) or
     rejected.
     """
