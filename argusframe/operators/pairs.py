@@ -71,7 +71,9 @@ def positive_pairs(observations: DataFrame, gap: int, per_track: int | None = No
     at = nth.withColumn("i", pair_number(F.col("k"), F.col("total"), F.lit(seed), F.col("track")))
     row = F.floor((F.sqrt(F.col("i") * 8.0 + 1) - 1) / 2).cast("long")
     at = at.withColumn("r", row)
-    at = at.withColumn("r", F.when(F.col("r") * (F.col("r") + 1) / 2 > F.col("i"), F.col("r") - 1).when((F.col("r") + 1) * (F.col("r") + 2) / 2 <= F.col("i"), F.col("r") + 1).otherwise(F.col("r")))
+    start = lambda r: r * (r + 1) / 2
+    r, i = F.col("r"), F.col("i")  # the root may be off by one
+    at = at.withColumn("r", F.when(start(r) > i, r - 1).when(start(r + 1) <= i, r + 1).otherwise(r))
     at = at.select("track", (F.col("m") - 1 - F.col("r")).alias("first"), (F.col("n") - 1 - (F.col("i") - (F.col("r") * (F.col("r") + 1) / 2).cast("long"))).alias("second"))
     at = at.distinct()
     return (
