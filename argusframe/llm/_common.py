@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -122,14 +123,23 @@ def told(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
+_served: list[str | None] = [None]  # the module that this worker works for
+_caches: weakref.WeakSet = weakref.WeakSet()
+
+
 def tidy(each):
     """``each`` for ``mapInArrow``: a worker that is done gives the memory that it freed back to the system.
 
-    Workers serve one stage after the other; what their allocators hold back would add up on an executor.
+    Workers serve one stage after the other; what their allocators hold back, and what they remember for other
+    operators than the one that they work for now, would add up on an executor.
     """
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
+        if _served[0] != each.__module__:
+            _served[0] = each.__module__
+            for cache in list(_caches):
+                cache.forget()
         try:
             yield from each(batches)
         finally:
@@ -151,6 +161,17 @@ class Remembered(dict):
     def __init__(self, limit: int):
         super().__init__()
         self.limit, self.old = limit, {}
+        _caches.add(self)
+
+    def __hash__(self) -> int:
+        return id(self)
+
+    def __eq__(self, other) -> bool:
+        return self is other
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
 
     def make(self, key):
         raise NotImplementedError

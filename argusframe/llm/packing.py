@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import Remembered, bounded_batches, stored, tidy
 from .token_counts import byte_letters
 
-CACHE = 150_000  # words that one Python worker remembers, in each of two generations
+CACHE = 100_000  # words that one Python worker remembers, in each of two generations
 
 
 # -- token ids -----------------------------------------------------------------------------------------

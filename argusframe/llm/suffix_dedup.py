@@ -485,9 +485,10 @@ def remove_repeats(
 
 def _cut(
     docs: DataFrame, length: int, words: bool, id_col: str, text_col: str, crowd: int, extra: tuple[str, ...], passage: int | None = None,
-    texts: bool = True,
+    texts: bool = True, decoded: bool = False,
 ) -> DataFrame:
-    """What ``remove_repeats`` returns, the id as ``id``, and the columns ``extra`` as ``x0, x1, ..``."""
+    """What ``remove_repeats`` returns, the id as ``id``, and the columns ``extra`` as ``x0, x1, ..``; ``kept_text`` as a string
+    if ``decoded``, without what is left of a cut character."""
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, length, words, crowd, id_col=id_col, text_col=text_col).withColumn("told", F.lit(False))
     if passage:
@@ -520,18 +521,18 @@ def _cut(
                 removed.append(len(data) - len(rest))
                 n_spans.append(len(runs))
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if texts else None)
+                kept.append((rest.decode("utf-8", "ignore") if decoded else rest) if texts else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()),
-                    pa.array(sha, pa.string()), pa.array(kept, pa.binary()), pa.array(passages, pa.int64()), *b.columns[5:],
+                    pa.array(sha, pa.string()), pa.array(kept, pa.string() if decoded else pa.binary()), pa.array(passages, pa.int64()), *b.columns[5:],
                 ],
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_passage_words", *[f"x{i}" for i in range(len(extra))]],
             )
 
     more = "".join(f", x{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
     return joined.mapInArrow(
-        tidy(cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary, n_passage_words long{more}"
+        tidy(cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text {"string" if decoded else "binary"}, n_passage_words long{more}"
     )
 
 
@@ -545,20 +546,9 @@ def without_repeats(
     there, becomes the new number of characters.
     """
     extra = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    out = _cut(docs, length, words, id_col, text_col, crowd, extra)
-
-    def decode(batches):
-        for b in batches:
-            texts = [d.decode("utf-8", "ignore") for d in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[1:]], ["text", *names])
-
-    names = ["id", *[f"x{i}" for i in range(len(extra))]]
-    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *extra)]
-    done = out.select("kept_text", *names).mapInArrow(
-        tidy(decode), "text string, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
-    )
-    source = {id_col: "id", text_col: "text"} | {c: f"x{i}" for i, c in enumerate(extra)}
+    done = _cut(docs, length, words, id_col, text_col, crowd, extra, decoded=True)
+    source = {id_col: "id", text_col: "kept_text"} | {c: f"x{i}" for i, c in enumerate(extra)}
     columns = [F.col(source[c]).alias(c) for c in docs.columns]
     if size_col in docs.columns:
-        columns[docs.columns.index(size_col)] = F.length("text").cast(docs.schema[size_col].dataType).alias(size_col)
+        columns[docs.columns.index(size_col)] = F.length("kept_text").cast(docs.schema[size_col].dataType).alias(size_col)
     return done.select(*columns)
