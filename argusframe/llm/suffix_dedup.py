@@ -59,17 +59,21 @@ def word_letters(data: bytes) -> bytes:
     raw, step = np.frombuffer(data, np.uint8), 1 << 15
     for a in range(0, len(starts), step):
         s, e = starts[a : a + step], ends[a : a + step]
-        lengths = e - s
-        if lengths.max() > LONG_WORD:
-            out[a : a + step] = [xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(s.tolist(), e.tolist())]
-            continue
+        lengths, at = e - s, slice(a, a + step)
+        if lengths.max() > LONG_WORD:  # a word's digest mustn't depend on the words beside it
+            for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+                out[a + i] = xxhash.xxh3_64_intdigest(data[s[i] : e[i]])
+            short = np.flatnonzero(lengths <= LONG_WORD)
+            if not len(short):
+                continue
+            s, lengths, at = s[short], lengths[short], a + short
         heads = np.cumsum(lengths) - lengths
         inside = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
         value = (raw[inside + np.repeat(s, lengths)].astype(np.uint64) + np.uint64(1)) * POWERS[inside]
         h = np.add.reduceat(value, heads) + lengths.astype(np.uint64) * MIX[1]
         h ^= h >> np.uint64(32)
         h *= MIX[1]
-        out[a : a + step] = h ^ (h >> np.uint64(29))
+        out[at] = h ^ (h >> np.uint64(29))
     return out.tobytes()
 
 
@@ -461,6 +465,115 @@ def _sorted(pool: DataFrame, length: int, size: int, lead: int, per_bucket: int)
     )
 
 
+# -- passages that are told, not cut -----------------------------------------------------------------------
+
+RADIX, BACK = MIX[0], np.uint64(pow(int(MIX[0]), -1, 1 << 64))
+
+
+def string_digests(letters: np.ndarray):
+    """A function ``(starts, lengths)`` -> 64-bit digests of these strings of ``letters``, by differences of a running sum."""
+    n = len(letters)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, RADIX)]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BACK)]))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(letters * powers[:-1])])
+
+    def digests(starts: np.ndarray, lengths) -> np.ndarray:
+        h = (total[starts + lengths] - total[starts]) * back[starts] + np.asarray(lengths).astype(np.uint64) * MIX[1]
+        h ^= h >> np.uint64(32)
+        h *= MIX[1]
+        return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+    return digests
+
+
+def _in_parts(data: list[bytes]):
+    """Neighbouring documents' letters about a ``CHUNK`` at a time: the first one's number, each one's start, all letters."""
+    sizes = np.array([len(d) for d in data], dtype=np.int64) // 8
+    for part in np.split(np.arange(len(data)), np.flatnonzero(np.diff(np.cumsum(sizes) * 8 // CHUNK)) + 1):
+        if len(part):
+            a, z = int(part[0]), int(part[-1]) + 1
+            yield a, z, np.cumsum(sizes[a:z]) - sizes[a:z], np.frombuffer(b"".join(data[a:z]), dtype="<u8")
+
+
+def passage_spans(docs: DataFrame, length: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``repeated_spans`` of strings of ``length`` words, by digests of whole strings alone: ``(id, mark, lo, hi)``.
+
+    Segments that are equal repeat whole. Where different segments share a class, each of their windows is
+    digested, and a window repeats if its digest does. No text is cut out or sorted, which takes less disk than
+    the search that removes; two different strings are taken for one if their 64-bit digests are equal.
+    """
+    with temporary(docs.sparkSession):
+        return lasting(_passage_spans(docs, length, id_col, text_col), "spans")
+
+
+def _passage_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    lead = length - span_of(length)
+    if lead < _gram(8):
+        raise ValueError(f"length must be {4 * _gram(8)} or more")
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("data"))
+    rows = rows.where(F.octet_length("data") >= 2 * length - 1)
+
+    def scan(batches):
+        for b in batches:
+            data = [word_letters(d) for d in b.column(2).to_pylist()]
+            for a, z, starts, letters in _in_parts(data):
+                doc, place, first, last = anchors(data[a:z], length, 8)
+                digests, at = string_digests(letters), starts[doc] if len(doc) else doc
+                take = pa.array(doc + a)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(take), b.column(1).take(take), pa.array(digests(at + place, lead)),
+                        pa.array(digests(at + first, last - first + length)), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int32)),
+                    ],
+                    ["id", "mark", "key", "whole", "first", "more"],
+                )
+
+    shape = f"id {kind}, mark long, key long, whole long, first int, more int"
+    found = stored(rows.mapInArrow(tidy(scan), shape), "passage-anchors")
+    classes = stored(found.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "passage-classes")
+    one = F.min(F.struct("id", "mark", "first", "more"))
+    kinds = join_weighted(found, classes, ["key"], "members").groupBy(*ADDRESS).agg(F.count("*").alias("n"), one.alias("one"))
+    kinds = stored(kinds, "passage-kinds")
+    hi = (F.col("first") + F.col("more") + length).alias("hi")
+    equal = join_weighted(found, kinds.where("n > 1").select(*ADDRESS, "n"), ADDRESS, "n")
+    equal = equal.select("id", "mark", F.col("first").alias("lo"), hi)
+
+    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    mixed = stored(mixed.select("key", "kinds"), "passage-mixed")
+    wanted = join_weighted(kinds, mixed, ["key"], "kinds").select("n", "one.*")
+    wanted = wanted.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "more", "n")).alias("cuts"))
+
+    def windows(batches):
+        for b in batches:
+            cuts = b.column(3)
+            fields, sizes = cuts.flatten(), cuts.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(cuts)), sizes)
+            first, more, n = (fields.field(k).to_numpy().astype(np.int64) for k in range(3))
+            for a, z, starts, letters in _in_parts([word_letters(d) for d in b.column(2).to_pylist()]):
+                mine = np.flatnonzero((owner >= a) & (owner < z))
+                count = more[mine] + 1
+                which = np.repeat(mine, count)
+                pos = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + first[which]
+                take = pa.array(owner[which])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(take), b.column(1).take(take), pa.array(string_digests(letters)(starts[owner[which] - a] + pos, length)),
+                        pa.array(pos.astype(np.int32)), pa.array(n[which] == 1),
+                    ],
+                    ["id", "mark", "digest", "lo", "alone"],
+                )
+
+    joined = rows.alias("r").join(
+        wanted.alias("w"), F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.mark") == F.col("w.mark"))
+    ).select("r.id", "r.mark", "data", "cuts")
+    each = stored(joined.mapInArrow(tidy(windows), f"id {kind}, mark long, digest long, lo int, alone boolean"), "passage-windows")
+    again = stored(each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "passage-again")
+    parts = join_weighted(each.where("alone"), again, ["digest"], "n")
+    return equal.unionByName(parts.select("id", "mark", "lo", (F.col("lo") + length).alias("hi")))
+
+
 # -- the operators ---------------------------------------------------------------------------------------
 
 
@@ -492,7 +605,7 @@ def _cut(
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, length, words, crowd, id_col=id_col, text_col=text_col).withColumn("told", F.lit(False))
     if passage:
-        told = repeated_spans(docs, passage, True, crowd, id_col=id_col, text_col=text_col)
+        told = passage_spans(docs, passage, id_col=id_col, text_col=text_col)
         spans = spans.unionByName(told.withColumn("told", F.lit(True)))
     lists = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi", "told")).alias("spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -343,6 +343,73 @@ def test_passages_are_told_beside_the_cut(spark):
     assert got == {0: (0, 55), 1: (0, 55), 2: (len(long_), 90), 3: (len(long_), 90), 4: (0, 0), 5: (0, 0)}
 
 
+def test_words_have_one_digest_beside_long_ones():
+    plain = suffix_dedup.word_letters(b"the quick fox")
+    for long_ in (b"x" * 4096, b"x" * 4097, b"y" * 70_000):
+        mixed = suffix_dedup.word_letters(b"the " + long_ + b" quick\nfox")
+        assert mixed[:8] + mixed[16:] == plain and mixed[8:16] == suffix_dedup.word_letters(long_)
+    assert suffix_dedup.word_letters(b"") == b""
+
+
+def brute_told(texts, length):
+    """For each text, the number of words in strings of ``length`` words that also start elsewhere."""
+    import re
+
+    words = [re.findall(r"[^ \t\n\x0b\x0c\r]+", t or "") for t in texts]
+    seen = Counter(tuple(w[s : s + length]) for w in words for s in range(len(w) - length + 1))
+    return [len({k for s in range(len(w) - length + 1) if seen[tuple(w[s : s + length])] > 1 for k in range(s, s + length)}) for w in words]
+
+
+@pytest.mark.parametrize("length, seed", [(51, 0), (51, 1), (8, 2)])
+def test_told_passages_against_brute_force(spark, length, seed):
+    rng = random.Random(seed)
+    prose = lambda n: [rng.choice(["été", "of", "x" * 5000]) if rng.random() < 0.02 else f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [prose(length + k) for k in (0, -1, 1, 9, 200)]
+    long_ = prose(3000)
+    texts = [None, "", " \n ", "a " * 400, "a b " * 120, " ".join(long_), " ".join(long_[100:260]), "same " + " ".join(passages[0])]
+    texts += [" ".join(f"{rng.randrange(10**5)}" for _ in range(150_000)), " ".join(long_[2900:])]  # more than are digested in one go
+    for i in range(80):
+        own = prose(rng.randint(0, 120))
+        for _ in range(rng.randint(0, 2)):
+            at, part = rng.randint(0, len(own)), rng.choice(passages)
+            own[at:at] = part[rng.randint(0, 5) :] if rng.random() < 0.3 else part
+        texts.append(rng.choice(["", "\t"]) + rng.choice([" ", "\n", " \x0b "]).join(own))
+    texts += texts[-3:]
+    # the commonest class has many members that differ
+    texts += [" ".join(prose(20) + passages[2] + prose(20)) for _ in range(60)]
+    got = {r.doc_id: r.n_passage_words for r in suffix_dedup.remove_repeats(frame(spark, texts).select("doc_id", "text"), 400, passage=length, texts=False).collect()}
+    want = brute_told(texts, length)
+    assert [got[i] for i in range(len(texts))] == want and 0 < sum(w == 0 for w in want) < len(want)
+
+
+def test_told_passages_of_rows_without_or_with_the_same_id(spark):
+    text = " ".join(f"w{i}" for i in range(55))
+    df = spark.createDataFrame([(None, text + " z"), (1, "y " + text), (1, "other"), (2, None), (3, "q " * 51), (3, "q " * 51)], "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(df, 400, passage=51).collect()
+    assert sorted((r.n_bytes, r.n_passage_words) for r in out) == [(0, 0), (5, 0), (102, 51), (102, 51), (len(text) + 2, 55), (len(text) + 2, 55)]
+    assert suffix_dedup.remove_repeats(frame(spark, []), 400, passage=51).collect() == []
+
+
+def test_suffix_query_cuts_400_bytes_and_tells_passages_of_over_50_words(spark, tmp_path):
+    """Passages of over 50 words that have under 400 bytes stay, as the contract says, and are told."""
+    from argusframe.llm.queries import op10_suffix_dedup
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**4)}" for _ in range(n))
+    planted_ = [prose(n) for n in (51, 55, 60, 50, 49)]
+    assert all(len(p) < 400 for p in planted_)
+    texts = [None, ""] + [f"{prose(rng.randint(5, 60))} {planted_[i % 5]} {prose(rng.randint(5, 60))}" if i < 40 else prose(150) for i in range(60)]
+    twin = prose(90)
+    texts += [twin, "and " + twin]
+    frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op10_suffix_dedup(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert [got[i][:4] for i in range(len(texts))] == brute_repeats(texts, 400)
+    assert [i for i in range(len(texts)) if got[i][1]] == [62, 63]
+    assert [i for i in range(len(texts)) if got[i][4]] == [i + 2 for i in range(40) if i % 5 < 3] + [62, 63]
+
+
 @pytest.mark.parametrize("crowd", [2000, 2])
 def test_repeated_passages_of_words(spark, crowd):
     rng = random.Random(crowd)
