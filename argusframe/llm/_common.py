@@ -10,6 +10,7 @@ import weakref
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,24 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """The driver's JVM gives memory that it freed, but that its allocator holds, back to the system.
+
+    What compilers, codecs and hundreds of threads freed outside the heap stays with the allocator's arenas else, and
+    grows from query to query. Does nothing where the JVM has no such command (before 17.0.9, or not on glibc).
+    """
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call = array(jvm.java.lang.Object, 4)
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface's method: the server's own class is closed to reflection
+        kind = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        next(m for m in kind.getMethods() if m.getName() == "invoke").invoke(server, call)
+    except Py4JJavaError:
+        pass
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -51,6 +70,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     root = f"{shared_dir(spark)}/{_FOLDER}"
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back(spark)
     if _passing:
         _passing[-1].append(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -72,6 +92,7 @@ def temporary(spark: SparkSession):
         for path in _passing.pop():
             _delete(spark, path)
         spark._jvm.System.gc()
+        give_back(spark)
 
 
 def lasting(df: DataFrame, name: str) -> DataFrame:

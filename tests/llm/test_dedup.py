@@ -102,6 +102,41 @@ def test_what_is_written_on_the_way_goes(spark):
     assert not any(map(os.path.exists, where)) and kept.count() == 3
 
 
+def test_the_driver_gives_freed_memory_back(spark):
+    import re
+
+    from argusframe.llm._common import stored, temporary
+
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+    outside = lambda: int(re.search(r"RssAnon:\s+(\d+)", open(status).read())[1]) // 1024
+
+    native, size = jvm.org.apache.spark.unsafe.Platform, 1 << 19
+
+    def hold_back():
+        """256 MB outside the heap that are used and freed; one block in 50 stays, so that the allocator keeps the others."""
+        native.freeMemory(native.allocateMemory(2 * size))  # from now on the arenas serve such blocks
+        blocks = [native.allocateMemory(size) for _ in range(512)]
+        for b in blocks:
+            native.setMemory(b, 1, size)
+        for i, b in enumerate(blocks):
+            if i % 50:
+                native.freeMemory(b)
+        return blocks[::50]
+
+    def in_temporary():
+        with temporary(spark):
+            pass
+
+    in_temporary()
+    for use in (lambda: stored(spark.range(3), "inner"), in_temporary):
+        kept, before = hold_back(), outside()
+        use()
+        assert before - outside() > 160
+        for b in kept:
+            native.freeMemory(b)
+
+
 def brute_fingerprint(text):
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else ([" ".join(words)] if words else [])
